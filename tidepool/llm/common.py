@@ -53,3 +53,23 @@ def text_of(column: str = "text"):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: A key is hot if it holds over 1/HOT_SHARE of all rows, so at most HOT_SHARE keys are.
+HOT_SHARE = 1024
+
+
+def join_held(rows: DataFrame, held: DataFrame, key: str, count: str) -> DataFrame:
+    """Join every row with the one row of ``held`` for its key, whose rows ``count`` tells.
+
+    Hot keys are few by definition and go by broadcast; no key of the rest is
+    large, so the sort-merge join that takes it is even.
+    """
+    total = held.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * HOT_SHARE > F.lit(total)
+    hot = held.where(is_hot)
+    few = F.broadcast(hot.select(F.col(key).alias("__hot")))
+    marked = rows.join(few, F.col(key) == F.col("__hot"), "left")
+    found = marked.where("__hot is not null").drop("__hot").join(F.broadcast(hot), key)
+    rest = marked.where("__hot is null").drop("__hot").hint("merge").join(held.where(~is_hot), key)
+    return found.unionByName(rest)

@@ -32,16 +32,16 @@ KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, with possessive repeats where nothing that follows could match less.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "ip": r"(?=[0-9])(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Looser forms of the same kinds.
 LOOSE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++ ?[\[({] ?(?:at|AT) ?[\])}] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[({] ?(?:dot|DOT) ?[\])}]) ?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9./])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9./])",
-    "phone": r"(?<![0-9+(.-])(?<!\+[0-9]{1,3} ?)(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    "ip": r"(?=[0-9A-Fa-f]{1,4}:)(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "card": r"(?=[0-9])(?<![0-9./])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9./])",
+    "phone": r"(?=[(0-9])(?<![0-9+(.-])(?<!\+[0-9]{1,3} ?)(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
 }
 #: What a text must hold for the pattern to be tried.
 NEEDS = {"email": "@", "phone": "+"}
@@ -143,6 +143,8 @@ def candidates(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             found = F.regexp_extract_all("text", F.lit(p), F.lit(0))
             if group == "b" and k in NEEDS:
                 found = F.when(F.contains("text", F.lit(NEEDS[k])), found)
+            elif group == "l" and k == "ip":
+                found = F.when(F.contains("text", F.lit(":")), found)
             elif group == "l" and k == "email":
                 found = F.when(F.col("text").rlike(r"[\[({] ?(?:at|AT) ?[\])}]"), found)
             rows = rows.withColumn(f"{group}_{k}", F.coalesce(found, F.array().cast("array<string>")))
