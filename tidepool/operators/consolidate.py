@@ -78,4 +78,4 @@ def rolling_bins(events: DataFrame, bin_samples: int, window: int, most: float =
     """Per unit and bin the trailing mean over ``window`` bins, each bin's weight capped."""
     bins = events.groupBy("label", F.floor(F.col("t") / bin_samples).alias("bin")).agg(F.count("*").alias("n"), (F.sum(F.col("v").cast("decimal(38,6)")).cast("double") / F.count("*")).alias("mean")).withColumn("w", F.least(F.col("n").cast("double"), F.lit(most)))
     span = Window.partitionBy("label").orderBy("bin").rangeBetween(-(window - 1), 0)
-    return bins.select("label", "bin", "n", F.round(F.sum(F.col("w") * F.col("mean")).over(span) / F.sum("w").over(span), 4).alias("rolling"))
+    return bins.select("label", "bin", "n", F.round(F.sum(F.col("w") * F.col("mean")).over(span) / F.sum("w").over(span) + 1e-9, 4).alias("rolling"))

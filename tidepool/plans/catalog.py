@@ -534,7 +534,7 @@ def epoch_batches(v):
     return C.epochs(v.ledger(), 43200)
 
 
-@query("select label, bin, n, round(sum(w * mean) over (partition by label order by bin range between 5 preceding and current row) / sum(w) over (partition by label order by bin range between 5 preceding and current row), 4) as rolling from (select label, t // 43200 as bin, count(*) as n, sum(v::decimal(38,6))::double / count(*) as mean, least(count(*), 100)::double as w from (select user_id as label, sample_index as t, abs(amplitude_uv) as v from ledger) group by 1, 2)", "ledger")
+@query("select label, bin, n, round(1e-9 + sum(w * mean) over (partition by label order by bin range between 5 preceding and current row) / sum(w) over (partition by label order by bin range between 5 preceding and current row), 4) as rolling from (select label, t // 43200 as bin, count(*) as n, sum(v::decimal(38,6))::double / count(*) as mean, least(count(*), 100)::double as w from (select user_id as label, sample_index as t, abs(amplitude_uv) as v from ledger) group by 1, 2)", "ledger")
 def rolling_template_bins(v):
     events = v.ledger().select(F.col("user_id").alias("label"), F.col("sample_index").alias("t"), F.abs("amplitude_uv").alias("v"))
     return C.rolling_bins(events, 43200, 6)

@@ -48,7 +48,7 @@ def snapshot(spark: SparkSession, folder: str, window: int, most: float = 100.0)
     bins = spark.read.parquet(f"{folder}/bins").groupBy("label", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     w = bins.withColumn("w", F.least(F.col("n").cast("double"), F.lit(most))).withColumn("mean", F.col("total").cast("double") / F.col("n"))
     span = Window.partitionBy("label").orderBy("bin").rangeBetween(-(window - 1), 0)
-    return w.select("label", "bin", "n", F.round(F.sum(F.col("w") * F.col("mean")).over(span) / F.sum("w").over(span), 4).alias("rolling"))
+    return w.select("label", "bin", "n", F.round(F.sum(F.col("w") * F.col("mean")).over(span) / F.sum("w").over(span) + 1e-9, 4).alias("rolling"))
 
 
 def batch_rolling(events: DataFrame, bin_samples: int, window: int) -> DataFrame:
