@@ -43,7 +43,7 @@ from .common import text_of, written
 
 FOLDS = 5
 TRAINING_ROWS = 30_000
-LEXICON = 200_000
+LEXICON = 80_000
 LEAST_DOCS, LEAST_PREFIX, PRIOR = 4, 3, 4.0
 LEAST_SHARE = 0.002
 SIGNIFICANT = 0.05
@@ -182,13 +182,14 @@ def _count_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64()), pa.array([bad[f] for f in n], pa.int64())], names=["form", "n", "bad"])
 
 
-def build_lexicon(counts: list[tuple[str, int, int]], docs: int, toxic: int) -> dict[str, float]:
-    """Log-odds of every form over the base rate, each shrunk to its parent's share."""
+def build_lexicon(counts: pa.Table, docs: int, toxic: int) -> dict[str, float]:
+    """counts: (form, n, bad). Log-odds of every form over the base rate, each shrunk to its parent's share."""
     base = min(max(toxic / max(docs, 1), 1e-6), 1 - 1e-6)
     logit = lambda p: math.log(p / (1 - p))
     share: dict[str, float] = {}
     out: dict[str, float] = {}
-    for form, n, bad in sorted(counts, key=lambda x: (len(x[0].rstrip("$")), x[0].endswith("$"), x[0])):
+    rows = zip(*(counts.column(c).to_pylist() for c in ("form", "n", "bad")), strict=True)
+    for form, n, bad in sorted(rows, key=lambda x: (len(x[0].rstrip("$")), x[0].endswith("$"), x[0])):
         parent = form[:-1]  # without its last letter, or without the mark
         prior = share.get(parent, base)
         share[form] = p = min(max((bad + PRIOR * prior) / (n + PRIOR), LEAST_SHARE), 1 - LEAST_SHARE)
@@ -227,8 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, id_column
         return None
     forms_ = train.select("text", "toxic").mapInArrow(_count_forms, "form string, n long, bad long").groupBy("form").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "form").limit(2 * LEXICON)
     model = Model()
-    lexicon = build_lexicon([(r.form, r.n, r.bad) for r in forms_.collect()], n_docs, n_bad)
+    # three columns of 2 * LEXICON rows at most: as Arrow they take a few MB of the driver
+    lexicon = build_lexicon(forms_.toArrow(), n_docs, n_bad)
     model.lexicon = dict(sorted(lexicon.items(), key=lambda x: (-abs(x[1]), x[0]))[:LEXICON])
+    del lexicon
     model.drift = 0.0
     # what words of clean documents score on average sets the drift
     held = rest.select("text", "toxic").mapInArrow(_bins(model), "toxic int, n long, segments array<double>, bins array<long>, counts array<long>")
