@@ -175,9 +175,3 @@ def _by_shuffle(rows: DataFrame, index: DataFrame, threshold: float) -> DataFram
     shared = met.groupBy("row", "doc_id", "item", "item_id", "n_shingles").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= threshold * F.col("n_shingles") - 1e-9)
     full = shared.join(times, "row").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
     return full.select("doc_id", "item_id", "n_shared", F.col("n_shingles").cast("long").alias("n_shingles"), (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
-
-
-def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose id holds no test item; all columns stay. Rows without an id are judged like any others, as one."""
-    bad = contaminated(docs, items, threshold).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__leaked")), "left_anti")

@@ -38,9 +38,9 @@ from .token_counts import BATCH_CHARS, groups_by_size
 
 TREES, DEPTH, LANE = 20, 5, 12
 THRESHOLD, RECALL = 0.8, 0.999
-BLOCK = 1024
+BLOCK = 512
 #: Shingles of a block, 8 bytes each; so long documents make smaller blocks.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
 #: Ids of documents to be read again: 8 bytes each, so 4 MB; more are met by a shuffle.
 BROADCAST_IDS = 500_000
 

@@ -66,7 +66,7 @@ def propagate(labels: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataF
         by_bin = Window.partitionBy("to").orderBy("bin")
         bins = moving.groupBy("to", "bin").agg(F.sum("c").alias("n"))
         bins = bins.select("to", "bin", "n", (F.sum("n").over(by_bin) - F.col("n")).alias("before")).withColumn("quota", _pick(slack, F.col("to")))
-        edge = bins.where((F.col("before") < F.col("quota")) & (F.col("before") + F.col("n") > F.col("quota"))).select("to", F.col("bin").alias("edge"), (F.col("quota") - F.col("before")).alias("rest"))
+        edge = bins.where((F.col("before") <= F.col("quota")) & (F.col("before") + F.col("n") > F.col("quota"))).select("to", F.col("bin").alias("edge"), (F.col("quota") - F.col("before")).alias("rest"))
         edge = F.broadcast(edge)  # one row per shard at most
         met = moving.join(edge, "to", "left")
         inside = met.where("edge is null or bin < edge").select("g", "shard", "to", "c", F.col("c").alias("goes"))

@@ -44,6 +44,7 @@ from .common import text_of, written
 FOLDS = 5
 TRAINING_ROWS = 30_000
 LEXICON = 80_000
+COUNTED_FORMS = 100_000
 LEAST_DOCS, LEAST_PREFIX, PRIOR = 4, 3, 4.0
 LEAST_SHARE = 0.002
 SIGNIFICANT = 0.05
@@ -84,7 +85,7 @@ class Model:
     def scores(self, text: str) -> list[float]:
         """Evidence of every word; the k-th time a word comes, what speaks for it counts 1/k."""
         cache = self._cache
-        if len(cache) > 300_000:
+        if len(cache) > 50_000:
             cache.clear()
         out, times = [], {}
         for w in WORDS.findall(text.lower()):
@@ -172,14 +173,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, id_column: str
 
 
 def _count_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts, let go whenever they reach COUNTED_FORMS; the shuffle adds them up."""
+
+    def told(n: Counter, bad: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([bad[f] for f in n], pa.int64())], names=["form", "n", "bad"])
+
+    n, bad = Counter(), Counter()
     for batch in batches:
-        n, bad = Counter(), Counter()
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen = {f for w in set(WORDS.findall(text.lower())) for f in forms(w)}
+        for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
+            seen = {f for w in set(WORDS.findall(text.as_py().lower())) for f in forms(w)}
             n.update(seen)
-            if toxic:
+            if toxic.as_py():
                 bad.update(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64()), pa.array([bad[f] for f in n], pa.int64())], names=["form", "n", "bad"])
+            if len(n) >= COUNTED_FORMS:
+                yield told(n, bad)
+                n, bad = Counter(), Counter()
+    yield told(n, bad)
 
 
 def build_lexicon(counts: pa.Table, docs: int, toxic: int) -> dict[str, float]:
