@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import hashing as H
 from ..operators import consolidate as C
 from ..operators import geometry as G
+from ..operators import learning as N
 from ..operators import ledger as L
 from ..operators import quality as Q
 from ..operators import sampling as S
@@ -558,3 +559,54 @@ def cross_day_links(v):
     last = t.where("unit % 2 = 0").groupBy("label").agg(F.max("unit").alias("left"))
     first = t.where("unit % 2 = 1").groupBy("label").agg(F.min("unit").alias("right"))
     return last.join(first, "label").select("label", "left", "right")
+
+
+# ---- learning -----------------------------------------------------------------------------------
+
+DUPLICATES = "near as (select a.channel_index as anchor, b.channel_index as other from channels a join channels b on a.shank = b.shank and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1024), dup as (select a.unit as \"left\", b.unit as \"right\", round(sum(a.v * b.v) / sqrt(max(p.total) * max(q.total)), 6) as score from near n join templates x on x.anchor = n.anchor join templates y on y.anchor = n.other and x.unit < y.unit join e a on a.unit = x.unit join e b on b.unit = y.unit and a.contact = b.contact and a.time = b.time join tot p on p.unit = x.unit join tot q on q.unit = y.unit where p.total > 1e-24 and q.total > 1e-24 group by 1, 2 having round(sum(a.v * b.v) / sqrt(max(p.total) * max(q.total)), 6) >= 0.5)"
+
+
+def _duplicates_sql(sql: str) -> str:
+    views = with_views("select 1", "templates", "channels").removesuffix(" select 1").replace("with ", "with recursive ", 1)
+    return f"{views}, {ENERGY}, {DUPLICATES}{sql}"
+
+
+@query()
+def duplicate_template_pairs(v):
+    return N.duplicate_pairs(v.templates(), v.channels(), 0.5)
+
+
+ORACLES["duplicate_template_pairs"] = _duplicates_sql(" select * from dup")
+
+
+@query()
+def linked_identities(v):
+    t = v.templates()
+    return N.linked_identities(t, N.duplicate_pairs(t, v.channels(), 0.5))
+
+
+ORACLES["linked_identities"] = _duplicates_sql(", links as (select \"left\" as a, \"right\" as b from dup union select \"right\", \"left\" from dup), reach as (select unit, unit as r from templates union select reach.unit, b from reach join links on r = a) select unit, dense_rank() over (order by root) - 1 as identity from (select unit, min(r) as root from reach group by 1)")
+
+
+def _snippets(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    t = v.templates().select(F.col("label").alias("unit"), "w", F.col("unit").alias("row"))
+    models = t.groupBy("unit").agg(F.min_by("w", "row").alias("w"))
+    return models, t.where("row % 3 <> 0").withColumn("core", F.col("row") % 5), t.where("row % 3 = 0")
+
+
+MOVED = "models as (select label as unit, arg_min(w, unit) as w from templates group by 1), target as (select label as unit, i, median(v) as v from (select label, unnest(w) as v, generate_subscripts(w, 1) as i from templates where unit % 3 <> 0) group by 1, 2), moved as (select m.unit, m.i, m.v, 0.75::double * m.v + 0.25::double * t.v as p from (select unit, unnest(w) as v, generate_subscripts(w, 1) as i from models) m join target t on m.unit = t.unit and m.i = t.i), changes as (select unit, round(sqrt(sum((p - v) ** 2)) / greatest(sqrt(sum(v ** 2)), 1e-12), 6) as c from moved group by 1), errors as (select h.unit, h.row, avg((h.x - m.v) ** 2) as old, avg((h.x - m.p) ** 2) as new from (select label as unit, unit as row, unnest(w) as x, generate_subscripts(w, 1) as i from templates where unit % 3 = 0) h join moved m on h.unit = m.unit and h.i = m.i group by 1, 2), judged as (select unit, count(*) as k, round(1 - avg(new) / greatest(avg(old), 1e-12), 6) as g, quantile_cont(new - old, 0.9) > 0.05 * greatest(avg(old), 1e-12) as worse from errors group by 1), seen as (select label as unit, count(*) as n, count(distinct unit % 5) as cores from templates where unit % 3 <> 0 group by 1)"
+
+
+@query()
+def heldout_refinement(v):
+    return N.heldout_refinement(*_snippets(v))
+
+
+ORACLES["heldout_refinement"] = with_views("select 1", "templates").removesuffix(" select 1") + ", " + MOVED + " select unit, training_count, validation_count, case when few then 'insufficient_evidence' when c > 0.1 or g < 0.005 or worse then 'validation_rejected' else 'heldout_waveform_improvement' end as reason, case when not few then c end as relative_change, case when not few then g end as validation_gain from (select unit, coalesce(n, 0) as training_count, coalesce(k, 0) as validation_count, coalesce(n, 0) < 12 or coalesce(k, 0) < 6 or coalesce(cores, 0) < 2 as few, c, g, worse from models left join changes using (unit) left join judged using (unit) left join seen using (unit))"
+
+
+@query()
+def calibration_clusters(v):
+    t = v.templates()
+    held = S.least_per_group(t, ["anchor"], lambda: H.by_time(F.col("unit")), 400)
+    return N.calibrate(held.select(F.col("unit").alias("row_id"), "anchor", "w"))
