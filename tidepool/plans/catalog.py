@@ -563,7 +563,8 @@ def cross_day_links(v):
 
 # ---- learning -----------------------------------------------------------------------------------
 
-DUPLICATES = "near as (select a.channel_index as anchor, b.channel_index as other from channels a join channels b on a.shank = b.shank and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1024), dup as (select a.unit as \"left\", b.unit as \"right\", round(sum(a.v * b.v) / sqrt(max(p.total) * max(q.total)), 6) as score from near n join templates x on x.anchor = n.anchor join templates y on y.anchor = n.other and x.unit < y.unit join e a on a.unit = x.unit join e b on b.unit = y.unit and a.contact = b.contact and a.time = b.time join tot p on p.unit = x.unit join tot q on q.unit = y.unit where p.total > 1e-24 and q.total > 1e-24 group by 1, 2 having round(sum(a.v * b.v) / sqrt(max(p.total) * max(q.total)), 6) >= 0.5)"
+DUPLICATE = 0.3  # the view's vectors are nearly random: the operator's own threshold would find no pair
+DUPLICATES = f"near as (select a.channel_index as anchor, b.channel_index as other from channels a join channels b on a.shank = b.shank and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1024), dup as (select a.unit as \"left\", b.unit as \"right\", round(sum(a.v * b.v) / sqrt(max(p.total) * max(q.total)), 6) as score from near n join templates x on x.anchor = n.anchor join templates y on y.anchor = n.other and x.unit < y.unit join e a on a.unit = x.unit join e b on b.unit = y.unit and a.contact = b.contact and a.time = b.time join tot p on p.unit = x.unit join tot q on q.unit = y.unit where p.total > 1e-24 and q.total > 1e-24 group by 1, 2 having round(sum(a.v * b.v) / sqrt(max(p.total) * max(q.total)), 6) >= {DUPLICATE})"
 
 
 def _duplicates_sql(sql: str) -> str:
@@ -573,7 +574,7 @@ def _duplicates_sql(sql: str) -> str:
 
 @query()
 def duplicate_template_pairs(v):
-    return N.duplicate_pairs(v.templates(), v.channels(), 0.5)
+    return N.duplicate_pairs(v.templates(), v.channels(), DUPLICATE)
 
 
 ORACLES["duplicate_template_pairs"] = _duplicates_sql(" select * from dup")
@@ -582,7 +583,7 @@ ORACLES["duplicate_template_pairs"] = _duplicates_sql(" select * from dup")
 @query()
 def linked_identities(v):
     t = v.templates()
-    return N.linked_identities(t, N.duplicate_pairs(t, v.channels(), 0.5))
+    return N.linked_identities(t, N.duplicate_pairs(t, v.channels(), DUPLICATE))
 
 
 ORACLES["linked_identities"] = _duplicates_sql(", links as (select \"left\" as a, \"right\" as b from dup union select \"right\", \"left\" from dup), reach as (select unit, unit as r from templates union select reach.unit, b from reach join links on r = a) select unit, dense_rank() over (order by root) - 1 as identity from (select unit, min(r) as root from reach group by 1)")
@@ -608,5 +609,5 @@ ORACLES["heldout_refinement"] = with_views("select 1", "templates").removesuffix
 @query()
 def calibration_clusters(v):
     t = v.templates()
-    held = S.least_per_group(t, ["anchor"], lambda: H.by_time(F.col("unit")), 400)
-    return N.calibrate(held.select(F.col("unit").alias("row_id"), "anchor", "w"))
+    held = S.least_per_group(t, ["label"], lambda: H.by_time(F.col("unit")), 400)
+    return N.calibrate(held.select(F.col("unit").alias("row_id"), F.col("label").alias("anchor"), "w"))
