@@ -97,10 +97,10 @@ def linked_identities(units: DataFrame, pairs: DataFrame) -> DataFrame:
     return roots.join(numbers, "root").select("unit", "identity")
 
 
-def heldout_refinement(models: DataFrame, training: DataFrame, validation: DataFrame, blend: float = 0.25) -> DataFrame:
+def heldout_refinement(models: DataFrame, training: DataFrame, validation: DataFrame, blend: float = 0.25, least: tuple[int, int, int] = (12, 6, 2)) -> DataFrame:
     """Whether moving each model (unit, w) towards the median of its training snippets (unit, core, w) helps on held-out ones (unit, w).
 
-    At least 12 snippets of 2 cores to train on and 6 to hold out; the model may
+    ``least``: snippets to train on, held-out ones, cores to train on; the model may
     change by a tenth, the mean error must fall by 0.5 %, and the 0.9 quantile
     of its rise stay below 5 % of the mean error.
     """
@@ -118,7 +118,7 @@ def heldout_refinement(models: DataFrame, training: DataFrame, validation: DataF
     judged = errors.groupBy("unit").agg(F.count("*").alias("validation_count"), F.round(1 - F.avg("new") / old, 6).alias("validation_gain"), (F.percentile(F.col("new") - F.col("old"), 0.9) > 0.05 * old).alias("_worse"))
     count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     full = moved.join(seen, "unit", "left").join(judged, "unit", "left").select("unit", "relative_change", "validation_gain", "_worse", "_cores", count("training_count"), count("validation_count"))
-    few = (F.col("training_count") < 12) | (F.col("validation_count") < 6) | (F.col("_cores") < 2)
+    few = (F.col("training_count") < least[0]) | (F.col("validation_count") < least[1]) | (F.coalesce("_cores", F.lit(0)) < least[2])
     refused = (F.col("relative_change") > 0.1) | (F.col("validation_gain") < 0.005) | F.col("_worse")
     reason = F.when(few, "insufficient_evidence").when(refused, "validation_rejected").otherwise("heldout_waveform_improvement")
     shown = lambda c: F.when(~few, F.col(c)).alias(c)
