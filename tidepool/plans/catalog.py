@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from ..functions import hashing as H
+from ..operators import adaptation as A
 from ..operators import consolidate as C
 from ..operators import geometry as G
 from ..operators import learning as N
 from ..operators import ledger as L
+from ..operators import matching as M
 from ..operators import quality as Q
 from ..operators import sampling as S
 from ..operators import session as E
@@ -611,3 +613,54 @@ def calibration_clusters(v):
     t = v.templates()
     held = S.least_per_group(t, ["label"], lambda: H.by_time(F.col("unit")), 400)
     return N.calibrate(held.select(F.col("unit").alias("row_id"), F.col("label").alias("anchor"), "w"))
+
+
+# ---- adaptation and matching --------------------------------------------------------------------
+
+
+def _evidence(v: Views) -> tuple[DataFrame, DataFrame]:
+    t = v.templates().select(F.col("label").alias("unit"), "w", F.col("unit").alias("sample"), F.floor(F.col("unit") / 40).alias("core"))
+    return t.groupBy("unit").agg(F.min_by("w", "sample").alias("w")), t
+
+
+@query()
+def template_promotion(v):
+    models, rows = _evidence(v)
+    now = rows.agg(F.max("sample")).first()[0] or 0
+    units = models.count()
+    last = models.select("unit", F.lit(-1).cast("long").alias("promoted_at"))
+    return A.promote(models, A.recent_evidence(rows, now, 1 << 40, units), last)
+
+
+@query()
+def pca_split_units(v):
+    models, rows = _evidence(v)
+    held = S.least_per_group(rows, ["unit", "core"], lambda: H.by_time(F.col("sample")), 64)
+    return A.pca_splits(models, held.select("unit", F.col("sample").alias("row"), "core", (F.col("core") % 3 == 0).alias("held"), "w"), 16, (4, 13))
+
+
+@query()
+def novelty_enrolment(v):
+    t = v.templates()
+    held = S.least_per_group(t.withColumn("core", F.floor(F.col("unit") / 400)), ["anchor", "core"], lambda: H.by_time(F.col("unit")), 256)
+    known = t.groupBy("anchor").agg(F.min_by("w", "unit").alias("w"))
+    return A.enrolment(A.proposals(held.select("anchor", F.col("unit").alias("sample"), "core", "w"), 1 << 40, 2), known, 1)
+
+
+@query()
+def residual_matches(v):
+    """The grid's eight channels against each label's mean template; the view's vectors are nearly random, so scores are low."""
+    grid = v.grid()
+    middle = grid.groupBy("channel").agg(F.median("v").alias("m"))
+    level = grid.join(F.broadcast(middle), "channel").select("t", "channel", (F.col("v") - F.col("m")).alias("u"))  # a row per channel
+    noise = level.groupBy("channel").agg((F.median(F.abs("u")) / 0.67448975).alias("n"))
+    sigma = [r.n for r in noise.orderBy("channel").collect()]  # a row per channel
+    frames = level.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("channel", "u")))["u"].alias("uv"))
+    means = v.templates().select("label", F.posexplode("w").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    waves = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x")))["x"].alias("m"))
+    unit = (F.row_number().over(Window.orderBy("label")) - 1).cast("long")  # a row per label
+    scale = 40 * max(sigma, default=1.0)
+    bank = waves.select(unit.alias("unit"), F.transform("m", lambda x: F.round(x, 9) * scale).alias("w"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: (F.col("label") + s) % 8).alias("contacts"), unit.alias("identity"))
+    rules = M.Rules(score=0.3, snr=2.5, amplitude=(0.01, 100.0), centre=4, refit_rounds=1)
+    found = M.match_cores(M.cut_cores(frames, 500, 100), sigma, M.Bank.collected(bank), rules)
+    return found.select("core", "t", "channel", "unit", "step", *[F.round(c, 6).alias(c) for c in ("score", "runner_up", "amplitude", "gain", "margin")])
