@@ -21,7 +21,7 @@ def test_lfp_and_quality(spark, tmp_path, capsys):
     times = spark.createDataFrame([(i * 100, i % 2) for i in range(40)], "t long, label long")
     times.write.parquet(str(tmp_path / "truth"))
     main(["quality", str(tmp_path / "truth"), str(tmp_path / "truth"), "--tolerance", "3"])
-    assert "20" in capsys.readouterr().out
+    assert capsys.readouterr().out.split() == "+-----+------+---+ |label|label2|iou| +-----+------+---+ |0 |0 |1.0| |1 |1 |1.0| +-----+------+---+".split()
 
 
 def test_queries_and_usage(capsys):
