@@ -224,6 +224,17 @@ def test_toxicity_held_out(spark, empty):
     assert none.count() == 0
 
 
+def test_toxicity_keeps_rare_words_of_large_vocabularies(spark):
+    rng = random.Random(4)
+    common = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=14)) for _ in range(20_000))  # over 200,000 forms
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][:18]
+    docs = spark.createDataFrame([(d, common + " zqxrare" * (i < 4)) for i, d in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(i < 9)) for i, d in enumerate(ids)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.evidence("zqxrare") + model.drift > 0.5  # 4 of its 4 documents are toxic
+    assert model.evidence("neverseen") + model.drift == 0
+
+
 def test_maximal_segments_by_definition():
     rng = random.Random(2)
     for _ in range(200):

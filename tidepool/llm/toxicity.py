@@ -19,8 +19,9 @@ clean text of its length; a logistic curve over the aggregated evidence of the
 significant ones gives the score.
 
 The lexicon comes from ``TRAINING_ROWS`` labelled rows at most (lowest hash of
-id), of which a fifth calibrates; its size is capped by ``LEXICON`` forms, the
-most telling first. Everything else covers all rows.
+id), of which a fifth calibrates, and has every form whose log-odds differ from
+its prefix's; as sorted 64-bit names and values it takes 16 bytes a form.
+Everything else covers all rows.
 
 Edge cases: null and empty texts score like a text without evidence; conflicting
 labels of one id all count; rows without an id are held out like any other id;
@@ -30,8 +31,11 @@ result. Language, source and id are never read by the score.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,7 +47,6 @@ from .common import text_of, written
 
 FOLDS = 5
 TRAINING_ROWS = 30_000
-LEXICON = 80_000
 COUNTED_FORMS = 100_000
 LEAST_DOCS, LEAST_PREFIX, PRIOR = 4, 3, 4.0
 LEAST_SHARE = 0.002
@@ -61,11 +64,16 @@ def forms(word: str) -> list[str]:
     return [word[:n] for n in range(LEAST_PREFIX, len(word) + 1)] + [word + "$"]
 
 
+def named(form: str) -> int:
+    """The 64-bit name of a form; among a million forms two share one with a chance below 1e-7."""
+    return int.from_bytes(hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 class Model:
     """The lexicon and the calibration; small, and the same for every task."""
 
     def __init__(self) -> None:
-        self.lexicon: dict[str, float] = {}
+        self.names, self.values = array("q"), array("d")
         self.drift, self.lam, self.k = 0.5, 1.0, 0.1
         self.curve = (-30.0, 0.0, 0.0, 0.0)
         self._cache: dict[str, float] = {}
@@ -73,8 +81,13 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_cache": {}}
 
+    def log_odds(self, form: str) -> float | None:
+        name = named(form)
+        i = bisect_left(self.names, name)
+        return self.values[i] if i < len(self.names) and self.names[i] == name else None
+
     def evidence(self, word: str) -> float:
-        got = self.lexicon.get
+        got = self.log_odds
         found = got(word + "$")
         n = len(word)
         while found is None and n >= LEAST_PREFIX:
@@ -191,20 +204,33 @@ def _count_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield told(n, bad)
 
 
-def build_lexicon(counts: pa.Table, docs: int, toxic: int) -> dict[str, float]:
-    """counts: (form, n, bad). Log-odds of every form over the base rate, each shrunk to its parent's share."""
+def _name_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forms by name, with the name of the next shorter one; a form's level is above that of its prefixes."""
+    for batch in batches:
+        each = batch.column(0).to_pylist()
+        level = [2 * len(f) - f.endswith("$") for f in each]
+        yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array([named(f) for f in each], pa.int64()), pa.array([named(f[:-1]) for f in each], pa.int64()), batch.column(1), batch.column(2)], names=["level", "form", "parent", "n", "bad"])
+
+
+def build_lexicon(counts: pa.Table, docs: int, toxic: int) -> tuple[array, array]:
+    """counts: (level, form, parent, n, bad). Names, sorted, and log-odds over the base rate of the forms that tell more than their parent, each shrunk to its parent's share."""
+    import numpy as np
+
     base = min(max(toxic / max(docs, 1), 1e-6), 1 - 1e-6)
-    logit = lambda p: math.log(p / (1 - p))
-    share: dict[str, float] = {}
-    out: dict[str, float] = {}
-    rows = zip(*(counts.column(c).to_pylist() for c in ("form", "n", "bad")), strict=True)
-    for form, n, bad in sorted(rows, key=lambda x: (len(x[0].rstrip("$")), x[0].endswith("$"), x[0])):
-        parent = form[:-1]  # without its last letter, or without the mark
-        prior = share.get(parent, base)
-        share[form] = p = min(max((bad + PRIOR * prior) / (n + PRIOR), LEAST_SHARE), 1 - LEAST_SHARE)
-        if abs(logit(p) - logit(prior)) > 0.2:
-            out[form] = logit(p) - logit(base)
-    return out
+    logit = lambda p: np.log(p / (1 - p))
+    if not counts.num_rows:
+        return array("q"), array("d")
+    order = np.argsort(counts.column("form").to_numpy())
+    level, form, parent, n, bad = (counts.column(c).to_numpy()[order] for c in ("level", "form", "parent", "n", "bad"))
+    at = np.minimum(np.searchsorted(form, parent), len(form) - 1)
+    known = form[at] == parent
+    prior, share = np.full(len(form), base), np.full(len(form), base)
+    by_level = np.argsort(level, kind="stable")
+    for pick in np.split(by_level, np.flatnonzero(np.diff(level[by_level])) + 1):
+        prior[pick] = np.where(known[pick], share[at[pick]], base)
+        share[pick] = np.clip((bad[pick] + PRIOR * prior[pick]) / (n[pick] + PRIOR), LEAST_SHARE, 1 - LEAST_SHARE)
+    tells = np.abs(logit(share) - logit(prior)) > 0.2
+    return array("q", form[tells].tobytes()), array("d", (logit(share[tells]) - logit(base)).tobytes())
 
 
 def _bins(model: Model):
@@ -235,12 +261,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, id_column
     n_docs = n_bad + tally[False, False] + (0 if apart else tally[True, False])
     if not 0 < n_bad < n_docs:
         return None
-    forms_ = train.select("text", "toxic").mapInArrow(_count_forms, "form string, n long, bad long").groupBy("form").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "form").limit(2 * LEXICON)
+    forms_ = train.select("text", "toxic").mapInArrow(_count_forms, "form string, n long, bad long").groupBy("form").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("n") >= LEAST_DOCS)
     model = Model()
-    # three columns of 2 * LEXICON rows at most: as Arrow they take a few MB of the driver
-    lexicon = build_lexicon(forms_.toArrow(), n_docs, n_bad)
-    model.lexicon = dict(sorted(lexicon.items(), key=lambda x: (-abs(x[1]), x[0]))[:LEXICON])
-    del lexicon
+    # five numbers a form, and no strings: 36 bytes of the driver
+    model.names, model.values = build_lexicon(forms_.mapInArrow(_name_forms, "level int, form long, parent long, n long, bad long").toArrow(), n_docs, n_bad)
     model.drift = 0.0
     # what words of clean documents score on average sets the drift
     held = rest.select("text", "toxic").mapInArrow(_bins(model), "toxic int, n long, segments array<double>, bins array<long>, counts array<long>")
