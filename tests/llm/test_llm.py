@@ -262,6 +262,18 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_html_wrappers_with_furniture_names():
+    body = "<p>One two three four five six.</p><p>Seven eight nine ten.</p>"
+    want = "One two three four five six.\nSeven eight nine ten."
+    foot = "<div class='comments'><p>Reader says</p></div><footer>Foot</footer>"
+    assert html_extract.main_text(f"<body><div class='has-sidebar'><div class='row'><article>{body}</article></div></div>{foot}") == want
+    assert html_extract.main_text(f"<body><div class='has-sidebar'><div class='row'>{body}</div></div><footer>Foot</footer>") == want
+    assert html_extract.main_text(f"<body><form><div class='has-sidebar'>{body}</div></form>") == want
+    assert html_extract.main_text(f"<body><nav><article>{body}</article></nav>") == ""
+    # the set-aside div ends however much was left open inside it
+    assert html_extract.main_text(f"<body><article><div class='comments'>x{'<b>' * 600}</div>{body}</article>") == want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -44,6 +44,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 _CLOSES_P = _BLOCK - {"br", "body", "html", "head", "option", "optgroup", "caption", "tbody", "thead", "tfoot", "tr", "legend", "summary"}
 _SCOPE = frozenset("html body table td th caption button object article section main div aside nav footer header form ul ol dl blockquote li dd dt template".split())
+_P_SCOPE = _SCOPE - {"p"}
 _CONTAINER = frozenset("div section ul ol dl table menu tbody center".split())
 _CORE = frozenset("article main".split())
 _HEADING = frozenset("h1 h2 h3".split())
@@ -60,6 +61,10 @@ _NAMES = frozenset(
 )
 
 
+#: Of the text outside furniture tags, so much makes a set-aside element its sole holder, if no article or main is there.
+SOLE_SHARE = 0.9
+
+
 class Page:
     """The tree of a page, as parallel lists in page order; parents come before children."""
 
@@ -73,6 +78,7 @@ class Page:
 
     def _build(self, source: str) -> None:
         runs, stack = self.runs, [0]
+        self.open: dict[str, list[int]] = {}  # where in the stack each tag is open
         at, end, lowered = 0, source.rfind(">") + 1, None
         while at < len(source):
             m = _TOKEN.search(source, at, end) if at < end else None
@@ -92,7 +98,7 @@ class Page:
                 self._close(stack, tag)
                 continue
             if tag in _CLOSES_P:
-                self._close(stack, "p", _SCOPE - {"p"})
+                self._close(stack, "p", _P_SCOPE)
             if tag in ("li", "dd", "dt", "option", "tr", "td", "th"):
                 self._close(stack, tag, frozenset(("ul", "ol", "dl", "menu", "select", "table")) if tag not in ("td", "th") else frozenset(("tr", "table")))
                 if tag in ("td", "th"):
@@ -101,7 +107,7 @@ class Page:
             node = len(self.tag)
             self.tag.append(tag)
             self.parent.append(stack[-1])
-            self.aside.append(self._is_furniture(tag, attributes, stack))
+            self.aside.append(self._is_furniture(tag, attributes))
             self.last.append(node)
             if tag in _RAW:
                 if lowered is None:
@@ -112,22 +118,24 @@ class Page:
                     close = source.find(">", stop)
                     at = len(source) if close < 0 else close + 1
             elif tag not in _VOID and not attributes.endswith("/"):
+                self.open.setdefault(tag, []).append(len(stack))
                 stack.append(node)
 
     def _close(self, stack: list[int], tag: str, within: frozenset = frozenset()) -> None:
         """Close the nearest open ``tag``, and what is open inside it, unless one of ``within`` holds it."""
-        names = self.tag
-        for i in range(len(stack) - 1, max(0, len(stack) - 512), -1):
-            if names[stack[i]] == tag:
-                del stack[i:]
-                return
-            if names[stack[i]] in within:
-                return
-
-    def _is_furniture(self, tag: str, attributes: str, stack: list[int]) -> bool:
+        opened = self.open
+        at = opened.get(tag)
+        if not at or any(opened[x][-1] > at[-1] for x in within if opened.get(x)):
+            return
+        last = at[-1]
+        for node in stack[last:]:
+            opened[self.tag[node]].pop()
+        del stack[last:]
+
+    def _is_furniture(self, tag: str, attributes: str) -> bool:
         if tag in _FURNITURE:
             return True
-        if tag == "header" and not any(self.tag[i] in _CORE for i in stack):
+        if tag == "header" and not any(self.open.get(t) for t in _CORE):
             return True
         if not attributes or tag in ("html", "body", "article", "main", "a"):
             return False
@@ -145,12 +153,25 @@ class Page:
 
     def _set_holders_back(self) -> None:
         """What holds an article or main element isn't furniture, whatever its name; nor is a sole holder of all text."""
-        for node, tag in enumerate(self.tag):
-            if tag in _CORE:
-                up = self.parent[node]
-                while up > 0 and self.aside[up] and self.tag[up] not in _FURNITURE and self.tag[up] not in _CORE:
-                    self.aside[up] = False
-                    up = self.parent[up]
+        n, parent, tag = len(self.tag), self.parent, self.tag
+        fixed = [t in _FURNITURE and t != "form" for t in tag]
+        holds = [t in _CORE for t in tag]
+        for i in range(n - 1, 0, -1):
+            if holds[i] and tag[i] not in _FURNITURE:
+                holds[parent[i]] = True
+                if tag[i] not in _CORE:
+                    self.aside[i] = False
+        if not holds[0]:
+            size = [0] * n
+            for node, text in self.runs:
+                if text is not None:
+                    size[node] += len(text) - text.count(" ") - text.count("\n")
+            for i in range(n - 1, 0, -1):
+                if not fixed[i]:
+                    size[parent[i]] += size[i]
+            for i in range(1, n):
+                if not fixed[i] and size[i] and size[i] >= SOLE_SHARE * size[0]:
+                    self.aside[i] = False
         for node in range(1, len(self.tag)):
             if self.aside[self.parent[node]]:
                 self.aside[node] = True
