@@ -274,6 +274,19 @@ def test_html_wrappers_with_furniture_names():
     assert html_extract.main_text(f"<body><article><div class='comments'>x{'<b>' * 600}</div>{body}</article>") == want
 
 
+def test_html_of_several_articles_and_of_none():
+    text = "<p>" + "Some words of the text that goes on for a while here. " * 6 + "</p>"
+    nav, link = "<nav><a href=x>Home</a></nav>", "<div><a href=x>Some link</a></div>"
+    for page in (
+        f"<main><article><h2>a</h2>{text * 2}</article><article><h2>b</h2>{text * 2}</article><article><h2>c</h2>{text * 3}</article></main>",
+        f"<div><div><article>{text * 3}</article></div><div><article>{text * 3}</article><article>{text * 2}</article></div></div>",
+        f"<article><p>Short one.</p></article><div>{text * 3}</div><div>{text * 3}</div><div>{text * 2}</div>",
+        f"<div>{text * 3}</div><div>{text * 3}</div>",
+    ):
+        got = html_extract.main_text(f"<body>{nav}{page}{link}")
+        assert got.count("Some words") == page.count("Some words") and "Some link" not in got
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -8,7 +8,8 @@ them. The composite density of a node is its characters per tag, scaled by a
 logarithm that falls as the share of links grows. The node whose children's
 densities have the largest sum is the core; the least density on its path to the
 body is the threshold, and other nodes that reach it add their own cores. The
-enclosing article or main element, if there is one, stands for its core, and
+enclosing article or main element, if there is one, stands for its core; other
+articles that reach the threshold or stand beside a core's article are kept, and
 headings that lead to a core belong to it.
 
 Blocks are the runs of text between block tags (and line breaks): references
@@ -223,29 +224,40 @@ class Page:
         while up > 0 and up != self.body:
             threshold = min(threshold, self.density[up])
             up = self.parent[up]
-        out = {self._raise(best)}
-        main = any(self.tag[i] in _CORE for i in usable)
-        if not main:
-            # subtrees beside the core's whose density reaches the threshold add their own best node
-            on_path, up = {best}, self.parent[best]
-            while up >= 0:
-                on_path.add(up)
-                up = self.parent[up]
-            top: dict[int, int] = {}
-            owner = [-1] * n
-            for i in range(1, n):
-                p = self.parent[i]
-                if self.aside[i]:
-                    continue
-                if owner[p] >= 0:
-                    owner[i] = owner[p]
-                elif p in on_path and i not in on_path and self.density[i] >= threshold and self.chars[i] > 2 * self.link_chars[i]:
-                    owner[i] = i
-                if owner[i] >= 0 and (owner[i] not in top or self.sums[i] > self.sums[top[owner[i]]]):
-                    top[owner[i]] = i
-            out |= set(top.values())
+        # subtrees beside the core's whose density reaches the threshold add their own best node
+        on_path, up = {best}, self.parent[best]
+        while up >= 0:
+            on_path.add(up)
+            up = self.parent[up]
+        top: dict[int, int] = {}
+        owner = [-1] * n
+        for i in range(1, n):
+            p = self.parent[i]
+            if self.aside[i]:
+                continue
+            if owner[p] >= 0:
+                owner[i] = owner[p]
+            elif p in on_path and i not in on_path and self._reaches(i, threshold):
+                owner[i] = i
+            if owner[i] >= 0 and (owner[i] not in top or self.sums[i] > self.sums[top[owner[i]]]):
+                top[owner[i]] = i
+        out = {self._raise(best)} | {self._widened(i) for i in top.values()}
+        # and so does every article, of however many below one such subtree; one next to a core article is a part like it,
+        # whose density is lower than that of the whole just because it is smaller
+        beside = {self.parent[i] for i in out if self.tag[i] == "article"}
+        out |= {i for i in usable if self.tag[i] == "article" and self._reaches(i, 0.0 if self.parent[i] in beside else threshold)}
         return out | self._headings(out)
 
+    def _reaches(self, node: int, threshold: float) -> bool:
+        return self.density[node] >= threshold and self.chars[node] > 2 * self.link_chars[node]
+
+    def _widened(self, node: int) -> int:
+        """The enclosing article or main element, if there is one."""
+        up = node
+        while up > 0 and self.tag[up] not in _CORE:
+            up = self.parent[up]
+        return up if up > 0 else node
+
     def _raise(self, node: int) -> int:
         """The enclosing article, else main element, else the node; single blocks give way to their container."""
         found, up = None, node
