@@ -183,6 +183,18 @@ def test_ngram_join(spark, docs, empty, block):
         assert ngram_join.similar_documents(empty).count() == 0
 
 
+def test_links_when_blocks_get_no_node(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for k in range(16):
+        words = [f"k{k}w{rng.randint(0, 900)}" for _ in range(140)]
+        texts += [" ".join(words), " ".join([*words, "end"])]
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    for most in (200, 20):  # 2 and 14 blocks a pair of texts
+        monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", most)
+        assert {r.n_links for r in ngram_join.similar_documents(rows).collect()} == {1}
+
+
 def test_prefix_is_shortened_until_the_target():
     assert ngram_join.prefix_depth(0.8, 0.999) == 5
     assert ngram_join.prefix_depth(0.8, 0.99999) < 5

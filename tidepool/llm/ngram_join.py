@@ -164,7 +164,10 @@ def _verify(threshold: float):
 
         first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         (xs, nx) = of(first)
-        if len(second):
+        itself = table.num_rows and table.column("low")[0] == table.column("high")[0]
+        if not itself:
+            if not len(first) or not len(second):  # a block that got no node; the other meets itself elsewhere
+                return pa.table({c: pa.array([], pa.int64()) for c in ("node", "links", "tie")})
             ys, ny = of(second)
             yes = linked(xs, ys, nx, ny, threshold)
             members = np.concatenate([first, second])
