@@ -195,6 +195,15 @@ def test_links_when_blocks_get_no_node(spark, monkeypatch):
         assert {r.n_links for r in ngram_join.similar_documents(rows).collect()} == {1}
 
 
+def test_one_of_each_class_whatever_the_ids(spark):
+    text = lambda k: " ".join(f"k{k}w{i}" for i in range(40))
+    near = text(3) + " end"
+    data = [(None, text(0)), (None, text(1)), (None, text(1)), (7, text(2)), (7, text(3)), (8, near), (None, text(4)), (9, text(4)), (7, text(3)), (None, None), (None, "")]
+    rows = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in data], SCHEMA)
+    got = Counter((r.doc_id, r.text or "") for r in ngram_join.one_of_each_class(rows).collect())
+    assert got == Counter([(None, text(0)), (None, text(1)), (7, text(2)), (7, text(3)), (9, text(4)), (None, "")])
+
+
 def test_prefix_is_shortened_until_the_target():
     assert ngram_join.prefix_depth(0.8, 0.999) == 5
     assert ngram_join.prefix_depth(0.8, 0.99999) < 5

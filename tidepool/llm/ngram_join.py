@@ -58,7 +58,7 @@ def prefix_depth(threshold: float = THRESHOLD, target: float = RECALL) -> int:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """rows: (doc_id, text). (doc_id, node, n_shingles, labels) of every row."""
+    """rows: (doc_id, text, digest). (doc_id, digest, node, n_shingles, labels) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -84,9 +84,9 @@ def signatures(rows: DataFrame) -> DataFrame:
                             label = (label << np.uint64(LANE)) | (mix(least) >> np.uint64(64 - LANE))
                         labels[some, t] = label
                 flat = pa.array(labels.view(np.int64).ravel())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(node.view(np.int64)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * TREES), flat)], names=["doc_id", "node", "n_shingles", "labels"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(node.view(np.int64)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * TREES), flat)], names=["doc_id", "digest", "node", "n_shingles", "labels"])
 
-    return rows.mapInArrow(run, "doc_id long, node long, n_shingles long, labels array<long>")
+    return rows.mapInArrow(run, "doc_id long, digest long, node long, n_shingles long, labels array<long>")
 
 
 def components(ties: DataFrame, name: str) -> DataFrame:
@@ -217,16 +217,15 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node long, hashes array<long>")
 
 
-def similar_documents(df: DataFrame, threshold: float = THRESHOLD, target: float = RECALL, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id, rep_id, class_size, n_links) of every row.
+def _digest(text_column: str):
+    return F.xxhash64(text_of(text_column))
 
-    rep_id: the least id with the same shingle set; class_id: the least id among
-    all documents joined to it by links; n_links: other documents with a Jaccard
-    similarity of ``threshold`` or more.
-    """
-    rows = df.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
+
+def _classified(df: DataFrame, threshold: float, target: float, id_column: str, text_column: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of every row, and of every node its class and ``first``, the least (id, digest) of its rows; null ids come last."""
+    rows = df.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"), _digest(text_column).alias("digest"))
     signed = written(signatures(rows), "signatures")
-    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.any_value("labels").alias("labels")), "nodes")
+    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.any_value("labels").alias("labels")), "nodes")
     shift = LANE * (DEPTH - prefix_depth(threshold, target))
     labels = nodes.where("n > 0").select("node", F.posexplode("labels").alias("tree", "label")).select("node", F.col("tree").cast("byte").alias("tree"), F.shiftrightunsigned("label", shift).alias("label"))
     met = labels.groupBy("tree", "label").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -245,15 +244,28 @@ def similar_documents(df: DataFrame, threshold: float = THRESHOLD, target: float
     checked = written(dealt.groupBy("component", "low", "high").applyInArrow(_verify(threshold), "node long, links long, tie long"), "checked")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(checked.select(F.col("tie").alias("a"), F.col("node").alias("b")), "classes")
-    full = nodes.select("node", "rep_id", "copies").join(links, "node", "left").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    full = nodes.select("node", "rep_id", "first", "copies").join(links, "node", "left").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = full.groupBy("component").agg(F.min("rep_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    held = written(full.join(named, "component").select("node", "rep_id", "class_id", "class_size", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    return join_held(signed.select("doc_id", "node"), held, "node", "copies").select("doc_id", "class_id", "rep_id", "class_size", "n_links")
+    held = written(full.join(named, "component").select("node", "component", "first", "rep_id", "class_id", "class_size", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    return signed, held
+
+
+def similar_documents(df: DataFrame, threshold: float = THRESHOLD, target: float = RECALL, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, rep_id, class_size, n_links) of every row.
+
+    rep_id: the least id with the same shingle set; class_id: the least id among
+    all documents joined to it by links; n_links: other documents with a Jaccard
+    similarity of ``threshold`` or more.
+    """
+    signed, held = _classified(df, threshold, target, id_column, text_column, block)
+    return join_held(signed.select("doc_id", "node"), held.drop("component", "first"), "node", "copies").select("doc_id", "class_id", "rep_id", "class_size", "n_links")
 
 
 def one_of_each_class(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df``, of each class of similar documents only one of those with the least id; all columns stay."""
-    found = similar_documents(df, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    met = df.join(found, df["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
-    # rows that share an id may be of different texts; the id is the document here
-    return met.dropDuplicates(["doc_id"])
+    """One row of ``df`` of each class of similar documents, that with the least (id, digest of its text); null ids come last. All columns stay."""
+    _, held = _classified(df, threshold, RECALL, "doc_id", "text", BLOCK)
+    first = held.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__keep"), F.col("first.digest").alias("__of"))
+    marked = df.withColumn("__digest", _digest("text"))
+    met = marked.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")) & (F.col("__digest") == F.col("__of")), "left_semi")
+    # only rows of equal id and text are left to choose from
+    return met.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
