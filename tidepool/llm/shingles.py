@@ -39,19 +39,31 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.concatenate((one, np.full(n, m, np.uint64)))) for m in (_MUL, _MUL_INVERSE))
 
 
+class Spelled:
+    """The words of many texts, with a hash of any prefix of any of them."""
+
+    def __init__(self, texts: list[str]) -> None:
+        lowered = [t.lower() for t in texts]
+        points = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1)
+        inside = np.concatenate(([False], _word_chars()[points]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])  # a break after each text: begin, end, begin, end ...
+        self.begin, self.stop = edges[::2], edges[1::2]
+        power, self._inverse = _powers(max(1 << 20, 1 << int(len(points)).bit_length()))
+        self._sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(mix(points.astype(np.uint64) + _MUL) * power[: len(points)], out=self._sums[1:])
+        #: Where each text's words begin, and one more.
+        self.at = np.concatenate(([0], np.searchsorted(self.begin, ends)))
+
+    def name(self, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Hashes of ``length`` characters from ``begin`` on."""
+        return mix((self._sums[begin + length] - self._sums[begin]) * self._inverse[begin] + length.astype(np.uint64))
+
+
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the offsets of each text's words (one more than texts)."""
-    lowered = [t.lower() for t in texts]
-    points = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le"), np.uint32)
-    ends = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1)
-    inside = np.concatenate(([False], _word_chars()[points]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])  # a break after each text: begin, end, begin, end ...
-    begin, stop = edges[::2], edges[1::2]
-    power, inverse = _powers(max(1 << 20, 1 << int(len(points)).bit_length()))
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(mix(points.astype(np.uint64) + _MUL) * power[: len(points)], out=sums[1:])
-    hashed = mix((sums[stop] - sums[begin]) * inverse[begin] + (stop - begin).astype(np.uint64))
-    return hashed, np.concatenate(([0], np.searchsorted(begin, ends)))
+    spelled = Spelled(texts)
+    return spelled.name(spelled.begin, spelled.stop - spelled.begin), spelled.at
 
 
 def shingles(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:

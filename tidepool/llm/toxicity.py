@@ -12,30 +12,35 @@ Training, on labelled rows of the training folds only:
 * Karlin-Altschul: lambda solves sum p(s) exp(lambda s) = 1 over the scores of
   words of clean documents; K is fitted so that the best segments of clean
   documents have the extreme-value distribution that follows.
+* Drift, lambda, K and the curve are set on a fifth of the rows under a lexicon
+  of the others; the lexicon that scores is then made of all of them. If the fifth
+  or the others lack one of the labels, all rows serve for both.
 
 Scoring, in one pass: all maximal scoring segments of a text in linear time;
 every segment gets the chance 1 - exp(-K n exp(-lambda S)) of one as good in a
 clean text of its length; a logistic curve over the aggregated evidence of the
-significant ones gives the score.
+significant ones gives the score. Words and prefixes are hashed and looked up
+many texts at a time; runs of words of one sign go into the scan as one item,
+which leaves its segments as they are, since a maximal segment begins and ends
+with a whole run.
 
 The lexicon comes from ``TRAINING_ROWS`` labelled rows at most (lowest hash of
-id), of which a fifth calibrates, and has every form whose log-odds differ from
-its prefix's; as sorted 64-bit names and values it takes 16 bytes a form.
-Everything else covers all rows.
-
-Edge cases: null and empty texts score like a text without evidence; conflicting
-labels of one id all count; rows without an id are held out like any other id;
-no usable label at all gives every row the score 0; an empty table gives an empty
-result. Language, source and id are never read by the score.
+id) and has every form whose log-odds differ from its prefix's; as sorted 64-bit
+names and values it takes 16 bytes a form. Everything else covers all rows.
+
+Edge cases: null and empty texts score like a text without evidence; texts of any
+length are scored whole; equal texts have equal scores, and each repeated row
+its own row; conflicting labels of one id all count; rows without an id are held
+out or not by the checksum of the empty text; no usable label at all gives every
+row the score 0; an empty table gives an empty result. Language, source and id
+are never read by the score. Other columns are not read; ``without_toxic`` passes
+them on, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-from array import array
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,105 +49,155 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, written
+from .token_counts import groups_by_size
 
 FOLDS = 5
 TRAINING_ROWS = 30_000
-COUNTED_FORMS = 100_000
+GROUP_CHARS = 400_000
 LEAST_DOCS, LEAST_PREFIX, PRIOR = 4, 3, 4.0
 LEAST_SHARE = 0.002
 SIGNIFICANT = 0.05
 LEAST_DRIFT = 0.6
 WORDS = re.compile(r"\w+")
+#: Sets the name of a whole word apart from that of the prefix with the same letters.
+WHOLE = 0x2545F4914F6CDD1D
 
 
 def fold(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def forms(word: str) -> list[str]:
-    """Prefixes from the shortest that counts up to the word itself, which ends in a mark."""
-    return [word[:n] for n in range(LEAST_PREFIX, len(word) + 1)] + [word + "$"]
-
-
-def named(form: str) -> int:
-    """The 64-bit name of a form; among a million forms two share one with a chance below 1e-7."""
-    return int.from_bytes(hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
 class Model:
     """The lexicon and the calibration; small, and the same for every task."""
 
     def __init__(self) -> None:
-        self.names, self.values = array("q"), array("d")
-        self.drift, self.lam, self.k = 0.5, 1.0, 0.1
+        import numpy as np
+
+        self.names, self.values = np.empty(0, np.uint64), np.empty(0)
+        #: Lengths of the prefixes that the lexicon has, the longest first.
+        self.lengths: list[int] = []
+        self.drift, self.lam, self.k = 0.0, 1.0, 0.1
         self.curve = (-30.0, 0.0, 0.0, 0.0)
-        self._cache: dict[str, float] = {}
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_cache": {}}
+    def log_odds(self, names):
+        """Of each name, not a number where the lexicon has none."""
+        import numpy as np
 
-    def log_odds(self, form: str) -> float | None:
-        name = named(form)
-        i = bisect_left(self.names, name)
-        return self.values[i] if i < len(self.names) and self.names[i] == name else None
+        if not len(self.names):
+            return np.full(len(names), np.nan)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where(self.names[at] == names, self.values[at], np.nan)
+
+    def _evidence(self, spelled, begin, length):
+        import numpy as np
+
+        found = self.log_odds(whole(spelled.name(begin, length)))
+        for n in self.lengths:
+            todo = np.flatnonzero(np.isnan(found) & (length >= n))
+            if len(todo):
+                found[todo] = self.log_odds(spelled.name(begin[todo], np.full(len(todo), n)))
+        return np.nan_to_num(found) - self.drift
 
     def evidence(self, word: str) -> float:
-        got = self.log_odds
-        found = got(word + "$")
-        n = len(word)
-        while found is None and n >= LEAST_PREFIX:
-            found = got(word[:n])
-            n -= 1
-        return (found or 0.0) - self.drift
-
-    def scores(self, text: str) -> list[float]:
-        """Evidence of every word; the k-th time a word comes, what speaks for it counts 1/k."""
-        cache = self._cache
-        if len(cache) > 50_000:
-            cache.clear()
-        out, times = [], {}
-        for w in WORDS.findall(text.lower()):
-            s = cache.get(w)
-            if s is None:
-                s = cache[w] = self.evidence(w)
-            if s > 0:
-                k = times[w] = times.get(w, 0) + 1
-                s = (s + self.drift) / k - self.drift
-            out.append(s)
-        return out
-
-    def significance(self, best: float, n: int) -> float:
-        """-log of the chance of a segment this good in a clean text of n words."""
-        expected = self.k * max(n, 1) * math.exp(-min(700.0, self.lam * best))
-        chance = -math.expm1(-expected)
-        return -math.log(max(chance, 1e-300))
-
-    def summary(self, text: str) -> tuple[float, float, int]:
-        """Evidence of the best segment, that of all significant ones together, and their number."""
-        scores = self.scores(text)
-        segments = maximal_segments(scores)
-        n = len(scores)
-        each = [self.significance(s, n) for _, _, s in segments]
-        strong = [e for e in each if e > -math.log(SIGNIFICANT)]
-        return max(each, default=0.0), sum(strong), len(strong)
+        import numpy as np
+
+        from .shingles import Spelled
+
+        return float(self._evidence(Spelled([word]), np.array([0]), np.array([len(word.lower())]))[0])
+
+    def scores(self, texts: list[str]):
+        """Evidence of every word, and the offsets of each text's; the k-th time a word comes in a text, what speaks for it counts 1/k."""
+        import numpy as np
+
+        from .shingles import Spelled
+
+        spelled = Spelled(texts)
+        length = spelled.stop - spelled.begin
+        _, first, which = np.unique(spelled.name(spelled.begin, length), return_index=True, return_inverse=True)
+        x = self._evidence(spelled, spelled.begin[first], length[first])[which]
+        for_it = np.flatnonzero(x > 0)
+        text = np.searchsorted(spelled.at, for_it, side="right")
+        order = np.lexsort((which[for_it], text))  # stable: in order of place within text and word
+        for_it, text = for_it[order], text[order]
+        new = np.ones(len(for_it), bool)
+        new[1:] = (text[1:] != text[:-1]) | (which[for_it[1:]] != which[for_it[:-1]])
+        starts = np.flatnonzero(new)
+        times = np.arange(1, len(for_it) + 1) - np.repeat(starts, np.diff(np.append(starts, len(for_it))))
+        x[for_it] = (x[for_it] + self.drift) / times - self.drift
+        return x, spelled.at
+
+    def significance(self, best, n):
+        """-log of the chances of segments this good in clean texts of n words."""
+        import numpy as np
+
+        expected = self.k * np.maximum(n, 1) * np.exp(-np.minimum(700.0, self.lam * np.asarray(best)))
+        return -np.log(np.maximum(-np.expm1(-expected), 1e-300))
+
+    def segments(self, texts: list[str]):
+        """(text, score) of all maximal segments, and the number of words of each text."""
+        import numpy as np
+
+        x, at = self.scores(texts)
+        n = np.diff(at)
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] > 0) != (x[:-1] > 0)
+        new[at[:-1][n > 0]] = True
+        starts = np.flatnonzero(new)
+        sums = np.add.reduceat(x, starts) if len(x) else x
+        bounds = np.searchsorted(starts, at)
+        owner, score = [], []
+        for i in np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(sums > 0)))[bounds])).tolist():  # texts with a run above 0
+            found = [s for _, _, s in maximal_segments(sums[bounds[i] : bounds[i + 1]].tolist())]
+            owner += [i] * len(found)
+            score += found
+        return np.array(owner, np.int64), np.array(score, float), n
+
+    def summaries(self, texts: list[str]):
+        """Of each text the evidence of its best segment, that of all significant ones together, and their number."""
+        import numpy as np
+
+        owner, score, n = self.segments(texts)
+        each = self.significance(score, n[owner])
+        best = np.zeros(len(texts))
+        np.maximum.at(best, owner, each)
+        strong = each > -math.log(SIGNIFICANT)
+        total = np.bincount(owner[strong], weights=each[strong], minlength=len(texts)).astype(float)
+        return best, total, np.bincount(owner[strong], minlength=len(texts))
 
     def passages(self, text: str) -> list[tuple[int, int, float]]:
         """Significant passages as code-point spans with their evidence."""
-        lowered, spans = text.lower(), [m.span() for m in WORDS.finditer(text.lower())]
-        if len(lowered) != len(text):  # a character whose lower case is longer: offsets by words of the text itself
-            spans = [m.span() for m in WORDS.finditer(text)]
-        scores = self.scores(text)
-        found = ((a, b, self.significance(s, len(scores))) for a, b, s in maximal_segments(scores))
+        lowered = text.lower()
+        # a character whose lower case is longer: offsets by words of the text itself
+        spans = [m.span() for m in WORDS.finditer(lowered if len(lowered) == len(text) else text)]
+        x, _ = self.scores([text])
+        found = ((a, b, float(self.significance(s, len(x)))) for a, b, s in maximal_segments(x.tolist()))
         return [(spans[a][0], spans[min(b, len(spans)) - 1][1], e) for a, b, e in found if e > -math.log(SIGNIFICANT) and a < len(spans)]
 
-    def score(self, text: str) -> float:
-        at = sum(w * x for w, x in zip(self.curve, aggregate(*self.summary(text)), strict=True))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, at))))
+    def score(self, texts: list[str]):
+        """Scores from 0 to 1."""
+        import numpy as np
+
+        out = [np.empty(0)]
+        for a, b in groups_by_size(texts, GROUP_CHARS):
+            at = sum(w * x for w, x in zip(self.curve, aggregate(*self.summaries(texts[a:b])), strict=True))
+            out.append(1 / (1 + np.exp(-np.clip(at, -30.0, 30.0))))
+        return np.concatenate(out)
 
 
-def aggregate(best: float, total: float, n: int) -> tuple[float, ...]:
-    """What the curve reads of a text's evidence: that of the best segment, of all significant ones, their number."""
-    return 1.0, math.log1p(best), math.log1p(total), math.log1p(n)
+def whole(names):
+    """The names of whole words, from those of their letters."""
+    import numpy as np
+
+    from .shingles import mix
+
+    return mix(names ^ np.uint64(WHOLE))
+
+
+def aggregate(best, total, n) -> tuple:
+    """What the curve reads of texts' evidence: that of the best segment, of all significant ones, their number."""
+    import numpy as np
+
+    return np.ones(len(best)), np.log1p(best), np.log1p(total), np.log1p(n)
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -186,42 +241,57 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, id_column: str
 
 
 def _count_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts, let go whenever they reach COUNTED_FORMS; the shuffle adds them up."""
+    """Forms by name, in how many documents, and in how many toxic ones, each has been seen: those of part 0 apart.
 
-    def told(n: Counter, bad: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([bad[f] for f in n], pa.int64())], names=["form", "n", "bad"])
+    Level and parent belong to the form: its next shorter prefix, and a number above that of all its prefixes.
+    """
+    import numpy as np
+
+    from .shingles import Spelled
 
-    n, bad = Counter(), Counter()
-    for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-            seen = {f for w in set(WORDS.findall(text.as_py().lower())) for f in forms(w)}
-            n.update(seen)
-            if toxic.as_py():
-                bad.update(seen)
-            if len(n) >= COUNTED_FORMS:
-                yield told(n, bad)
-                n, bad = Counter(), Counter()
-    yield told(n, bad)
-
-
-def _name_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forms by name, with the name of the next shorter one; a form's level is above that of its prefixes."""
     for batch in batches:
-        each = batch.column(0).to_pylist()
-        level = [2 * len(f) - f.endswith("$") for f in each]
-        yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array([named(f) for f in each], pa.int64()), pa.array([named(f[:-1]) for f in each], pa.int64()), batch.column(1), batch.column(2)], names=["level", "form", "parent", "n", "bad"])
+        every, toxic, part = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        for a, b in groups_by_size(every, GROUP_CHARS // 4):
+            spelled = Spelled(every[a:b])
+            length, text = spelled.stop - spelled.begin, np.repeat(np.arange(b - a), np.diff(spelled.at))
+            first = _distinct(text, spelled.name(spelled.begin, length))
+            begin, length, text = spelled.begin[first], length[first], text[first]
+            times = np.maximum(length - LEAST_PREFIX + 1, 0)
+            of = np.repeat(np.arange(len(begin)), times)
+            size = LEAST_PREFIX + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+            letters = spelled.name(begin, length)
+            form = np.concatenate([spelled.name(begin[of], size), whole(letters)])
+            parent = np.concatenate([spelled.name(begin[of], size - 1), letters])
+            level, text = np.concatenate([2 * size, 2 * length + 1]), np.concatenate([text[of], text])
+            keep = _distinct(text, form)
+            names, at, which = np.unique(form[keep], return_index=True, return_inverse=True)
+            text = text[keep] + a
+            count = lambda w: pa.array(np.bincount(which, weights=w, minlength=len(names)).astype(np.int64))  # noqa: B023, E731
+            apart, bad = part[text] == 0, toxic[text] != 0
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(parent[keep][at].view(np.int64)), pa.array(level[keep][at], pa.int32()), count(~apart), count(~apart & bad), count(apart), count(apart & bad)], names=FORM_COLUMNS)
+
+
+FORM_COLUMNS = ["form", "parent", "level", "n", "bad", "n0", "bad0"]
+
+
+def _distinct(text, name):
+    """Places of one of each (text, name)."""
+    import numpy as np
+
+    order = np.lexsort((name, text))
+    new = np.ones(len(order), bool)
+    new[1:] = (text[order[1:]] != text[order[:-1]]) | (name[order[1:]] != name[order[:-1]])
+    return order[new]
 
 
-def build_lexicon(counts: pa.Table, docs: int, toxic: int) -> tuple[array, array]:
-    """counts: (level, form, parent, n, bad). Names, sorted, and log-odds over the base rate of the forms that tell more than their parent, each shrunk to its parent's share."""
+def build_lexicon(form, parent, level, n, bad, docs: int, toxic: int):
+    """Arrays in order of form. Names, log-odds over the base rate, and levels of the forms that tell more than their parent, each shrunk to its parent's share."""
     import numpy as np
 
     base = min(max(toxic / max(docs, 1), 1e-6), 1 - 1e-6)
     logit = lambda p: np.log(p / (1 - p))
-    if not counts.num_rows:
-        return array("q"), array("d")
-    order = np.argsort(counts.column("form").to_numpy())
-    level, form, parent, n, bad = (counts.column(c).to_numpy()[order] for c in ("level", "form", "parent", "n", "bad"))
+    if not len(form):
+        return form, np.empty(0), level
     at = np.minimum(np.searchsorted(form, parent), len(form) - 1)
     known = form[at] == parent
     prior, share = np.full(len(form), base), np.full(len(form), base)
@@ -230,19 +300,50 @@ def build_lexicon(counts: pa.Table, docs: int, toxic: int) -> tuple[array, array
         prior[pick] = np.where(known[pick], share[at[pick]], base)
         share[pick] = np.clip((bad[pick] + PRIOR * prior[pick]) / (n[pick] + PRIOR), LEAST_SHARE, 1 - LEAST_SHARE)
     tells = np.abs(logit(share) - logit(prior)) > 0.2
-    return array("q", form[tells].tobytes()), array("d", (logit(share[tells]) - logit(base)).tobytes())
+    return form[tells], logit(share[tells]) - logit(base), level[tells]
+
+
+def _word_bins(model: Model):
+    """How often words of clean texts have which evidence, in steps of 1/20."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in groups_by_size(texts, GROUP_CHARS):
+                bins, n = np.unique(np.rint(model.scores(texts[a:b])[0] * 20).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n)], names=["bin", "n"])
+
+    return run
+
+
+def _best_segments(model: Model):
+    """Of each text its words and the score of its best segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in groups_by_size(texts, GROUP_CHARS):
+                owner, score, n = model.segments(texts[a:b])
+                best = np.zeros(b - a)
+                np.maximum.at(best, owner, score)
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(best)], names=["n", "best"])
+
+    return run
+
 
+def _evidence(model: Model):
+    """Of each text its label and what the curve reads."""
 
-def _bins(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                scores = model.scores(text)
-                bins = Counter(round(s * 20) for s in scores)
-                rows.append((len(scores), [x[2] for x in maximal_segments(scores)], list(bins), list(bins.values())))
-            n, segments, bins, counts = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(segments, pa.list_(pa.float64())), pa.array(bins, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=["toxic", "n", "segments", "bins", "counts"])
+            texts = batch.column(0).to_pylist()
+            for a, b in groups_by_size(texts, GROUP_CHARS):
+                best, total, n = model.summaries(texts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(best, pa.float64()), pa.array(total, pa.float64()), pa.array(n, pa.int64())], names=["toxic", "best", "total", "n"])
 
     return run
 
@@ -255,21 +356,34 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, id_column
     tally = Counter()
     for r in rows.groupBy("part", "toxic").count().collect():
         tally[r.part == 0, r.toxic != 0] += r["count"]
-    apart = min(tally[True, True], tally[True, False]) >= 20  # else too few to set a fifth aside
-    train, rest = (rows.where("part <> 0"), rows.where("part = 0")) if apart else (rows, rows)
-    n_bad = tally[False, True] + (0 if apart else tally[True, True])
-    n_docs = n_bad + tally[False, False] + (0 if apart else tally[True, False])
+    n_bad = tally[False, True] + tally[True, True]
+    n_docs = sum(tally.values())
     if not 0 < n_bad < n_docs:
         return None
-    forms_ = train.select("text", "toxic").mapInArrow(_count_forms, "form string, n long, bad long").groupBy("form").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("n") >= LEAST_DOCS)
-    model = Model()
-    # five numbers a form, and no strings: 36 bytes of the driver
-    model.names, model.values = build_lexicon(forms_.mapInArrow(_name_forms, "level int, form long, parent long, n long, bad long").toArrow(), n_docs, n_bad)
-    model.drift = 0.0
+    counted = rows.select("text", "toxic", "part").mapInArrow(_count_forms, "form long, parent long, level int, n long, bad long, n0 long, bad0 long")
+    sums = counted.groupBy("form", "parent", "level").agg(*[F.sum(c).cast("int").alias(c) for c in FORM_COLUMNS[3:]]).where(F.col("n") + F.col("n0") >= LEAST_DOCS)
+    found = sums.toArrow()  # numbers only: 36 bytes a form
+    order = np.argsort(found.column("form").to_numpy().view(np.uint64))
+    form, parent, level, n, bad, n0, bad0 = (found.column(c).to_numpy()[order] for c in FORM_COLUMNS)
+    form, parent = form.view(np.uint64), parent.view(np.uint64)
+    del found, order
+
+    def lexicon(model: Model, keep, n, bad, docs: int, toxic: int) -> Model:
+        model.names, model.values, told = build_lexicon(form[keep], parent[keep], level[keep], n[keep], bad[keep], docs, toxic)
+        model.lengths = sorted({int(x) // 2 for x in np.unique(told[told % 2 == 0])}, reverse=True)
+        return model
+
+    model, apart = Model(), all(tally[k] for k in ((False, False), (False, True), (True, False), (True, True)))
+    if apart:
+        rest = rows.where("part = 0")
+        lexicon(model, n >= LEAST_DOCS, n, bad, tally[False, False] + tally[False, True], tally[False, True])
+    else:
+        rest = rows
+        lexicon(model, slice(None), n + n0, bad + bad0, n_docs, n_bad)
     # what words of clean documents score on average sets the drift
-    held = rest.select("text", "toxic").mapInArrow(_bins(model), "toxic int, n long, segments array<double>, bins array<long>, counts array<long>")
-    clean = held.where("toxic = 0").select(F.explode(F.arrays_zip("bins", "counts")).alias("x")).groupBy("x.bins").agg(F.sum("x.counts").alias("n")).collect()
-    value, mass = np.array([r.bins / 20 for r in clean]), np.array([float(r.n) for r in clean])
+    clean = rest.where("toxic = 0").select("text")
+    bins = clean.mapInArrow(_word_bins(model), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    value, mass = np.array([r.bin / 20 for r in bins]), np.array([float(r.n) for r in bins])
     mass /= max(mass.sum(), 1)
     model.drift = float(max(LEAST_DRIFT, (value * mass).sum() + 0.25)) if len(value) else LEAST_DRIFT
     value = value - model.drift
@@ -278,24 +392,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, id_column
         middle = (low + high) / 2
         low, high = (middle, high) if (mass * np.exp(np.minimum(middle * value, 700))).sum() < 1 else (low, middle)
     model.lam = float(low)
-    found = rest.select("text", "toxic").mapInArrow(_bins(model), "toxic int, n long, segments array<double>, bins array<long>, counts array<long>").select("toxic", "n", "segments").collect()
-    x = np.array([model.lam * max(r.segments, default=0.0) - math.log(max(r.n, 1)) for r in found if r.toxic == 0])
+    best = clean.mapInArrow(_best_segments(model), "n long, best double").toArrow()  # two numbers of each calibrating row
+    x = model.lam * best.column("best").to_numpy() - np.log(np.maximum(best.column("n").to_numpy(), 1))
     model.k = float(1 / np.exp(-x).mean()) if len(x) else 0.1
-    model.curve = _curve(model, found)
-    return model
+    model.curve = _curve(rest.select("text", "toxic").mapInArrow(_evidence(model), "toxic int, best double, total double, n long").toArrow())
+    return lexicon(model, slice(None), n + n0, bad + bad0, n_docs, n_bad)
 
 
-def _curve(model: Model, found: list) -> tuple[float, ...]:
+def _curve(rows: pa.Table) -> tuple[float, ...]:
     """Logistic regression, with a slight ridge, of the label on the aggregated evidence."""
     import numpy as np
 
-    rows, y = [], []
-    for r in found:
-        each = [model.significance(s, r.n) for s in r.segments]
-        strong = [e for e in each if e > -math.log(SIGNIFICANT)]
-        rows.append(aggregate(max(each, default=0.0), sum(strong), len(strong)))
-        y.append(float(r.toxic != 0))
-    x, y, w = np.array(rows), np.array(y), np.zeros(4)
+    x = np.stack(aggregate(*(rows.column(c).to_numpy() for c in ("best", "total", "n"))), axis=1)
+    y, w = (rows.column("toxic").to_numpy() != 0).astype(float), np.zeros(4)
     ridge = np.array([1e-3, 1e-1, 1e-1, 1e-1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -317,8 +426,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROW
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            scores = [m.score(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+            scores = m.score(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(scores >= 0.5).cast(pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -332,6 +441,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([held.value.score(t or "") < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array(held.value.score([t or "" for t in batch.column(at).to_pylist()]) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
