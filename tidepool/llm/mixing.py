@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import fresh, text_of, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -110,9 +110,10 @@ def apply_mix(df: DataFrame, seed: int = 17, id_column: str = "doc_id", source_c
     """
     plan = mix(df, seed, id_column=id_column, source_column=source_column, text_column=text_column, **options)
     most = plan.groupBy("doc_id", "source", "tie").agg(F.floor(F.sum("repeats") / F.count("*")).cast("int").alias("copies")).where("copies > 0")
-    most = most.select(*[F.col(c).alias(f"__mix_{c}") for c in most.columns])
-    met = df.join(most, df[id_column].eqNullSafe(F.col("__mix_doc_id")) & df[source_column].eqNullSafe(F.col("__mix_source")) & (F.xxhash64(F.coalesce(df[text_column], F.lit(""))) == F.col("__mix_tie")))
-    return met.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[df[c] for c in df.columns])
+    names = {c: fresh(df, f"mix_{c}") for c in [*most.columns, "copy"]}
+    most = most.withColumnsRenamed(names)
+    met = df.join(most, df[id_column].eqNullSafe(F.col(names["doc_id"])) & df[source_column].eqNullSafe(F.col(names["source"])) & (F.xxhash64(F.coalesce(df[text_column], F.lit(""))) == F.col(names["tie"])))
+    return met.withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["copies"])))).drop(*names.values())
 
 
 #: DuckDB's form, over whole sources in one window each.
