@@ -67,6 +67,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to a Python worker, where the session has Spark's own 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` in small batches; when a task ends, its worker, which lives on, gives memory back.
+
+    Spark takes the batch size from the session, so it is set there, unless somebody has set it before.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key).rstrip("b") == str(64 << 20):
+        conf.set(key, str(BATCH_BYTES))
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(whole, schema)
+
+
+def release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 #: A key is hot if it holds over 1/HOT_SHARE of all rows, so at most HOT_SHARE keys are.
 HOT_SHARE = 1024
 

@@ -7,19 +7,24 @@ other node, characters and tags are summed upwards, with those of links beside
 them. The composite density of a node is its characters per tag, scaled by a
 logarithm that falls as the share of links grows. The node whose children's
 densities have the largest sum is the core; the least density on its path to the
-body is the threshold, and other nodes that reach it add their own cores. The
-enclosing article or main element, if there is one, stands for its core; other
-articles that reach the threshold or stand beside a core's article are kept, and
-headings that lead to a core belong to it.
+body is the threshold. Every other subtree beside the path that reaches the
+threshold, and is not mostly links, adds its own core: the node of the largest
+density sum in it. A core that is a single block stands for its container.
+
+An article or main element breaks ties only: a core inside one is widened to it
+if it, too, reaches the threshold, and articles beside a core's article are parts
+like it. Headings that lead to a core belong to it. Lists of links are left out
+beside the core's own blocks, never inside an article that is kept.
 
 Blocks are the runs of text between block tags (and line breaks): references
-decoded, white space made one space, trimmed, empty ones left out, joined by a
-line feed in page order.
+decoded run by run, white space made one space, trimmed, empty ones left out,
+joined by a line feed in page order.
 
 Edge cases: null and empty pages, and pages without text, give the empty string;
-pages of any length and depth are read whole, in time near linear; repeated rows
-each get their row; an empty table gives an empty result; other columns are not
-read. Text outside any body counts as body.
+pages of any length and depth are read whole, in time near linear; of nodes with
+equal sums the first in the page is the core; repeated rows each get their row;
+an empty table gives an empty result; other columns are not read. Text outside
+any body counts as body.
 """
 
 from __future__ import annotations
@@ -28,12 +33,13 @@ import html as _html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import mapped, text_of
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -52,13 +58,24 @@ _HEADING = frozenset("h1 h2 h3".split())
 #: Elements, roles and parts of class names and ids that mark page furniture.
 _FURNITURE = frozenset("nav footer aside form button select input menu dialog svg canvas object embed template label fieldset datalist audio video".split()) | _RAW
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-_NAMES = frozenset(
-    """ad ads adbox advert adverts advertisement advertising adsense advertorial sponsor sponsored promo promotion
-    banner cookie cookies consent gdpr notice notices notification alert warning disclaimer sidebar aside rail menu nav navbar navigation
-    breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist reply replies respond discussion
-    disqus share sharing social related recommended recommendations recirc newsletter subscribe subscription
-    signup login popup modal overlay widget widgets pagination pager hidden copyright legal teaser teasers tags tagcloud
-    paywall skip search""".split()
+#: A name that begins or ends with one of these is furniture, unless a word before denies it.
+_STRONG = frozenset(
+    """ad ads adbox advert adverts advertisement advertising adsense advertorial sponsored promo promotion
+    cookie cookies consent gdpr sidebar aside nav navbar navigation breadcrumb breadcrumbs footer masthead
+    comment comments commentlist disqus newsletter popup modal paywall""".split()
+)
+_DENIED = frozenset("has no not without with non hide hidden".split())
+#: A name made of these and of words that say nothing of their own is furniture.
+_WEAK = frozenset(
+    """sponsor banner notice notices notification alert warning disclaimer rail menu topbar toolbar reply replies respond
+    discussion share sharing social related recommended recommendations recirc subscribe subscription signup login overlay
+    widget widgets pagination pager hidden copyright legal teaser teasers tags tagcloud skip search""".split()
+)
+_NEUTRAL = frozenset(
+    """site page web box bar wrap wrapper container holder block section area panel inner outer top bottom left right
+    main primary secondary global list item items group row col column link links button buttons icon icons text title
+    header head body content form field post posts article articles entry user reader readers story stories more
+    bottom float sticky fixed desktop mobile small large module unit slot the to and for us""".split()
 )
 
 
@@ -66,6 +83,22 @@ _NAMES = frozenset(
 SOLE_SHARE = 0.9
 
 
+#: Only elements that hold blocks, or inline ones outside the flow of text, are furniture by name.
+_NAMED = frozenset("div section ul ol dl table tbody tr td header span details center blockquote figure iframe ins".split())
+
+
+@lru_cache(maxsize=10_000)
+def _names_furniture(name: str) -> bool:
+    """Whether a class name or id says that its element is furniture: by its first or last word, or by all its words."""
+    parts = [p.lower() for p in _PART.findall(name)]
+    words = [p for p in parts if not p.isdigit()]
+    if not words or words[0] in _DENIED and len(words) > 1:
+        return False
+    if words[0] in _STRONG or words[-1] in _STRONG:
+        return True
+    return any(w in _WEAK for w in words) and all(w in _WEAK or w in _NEUTRAL or w in _STRONG for w in words)
+
+
 class Page:
     """The tree of a page, as parallel lists in page order; parents come before children."""
 
@@ -148,7 +181,7 @@ class Page:
                 return True
             if key == "role" and value.strip().lower() in _ROLES:
                 return True
-            if key in ("class", "id") and any(part.lower() in _NAMES for part in _PART.findall(value)):
+            if key in ("class", "id") and tag in _NAMED and any(_names_furniture(name) for name in value.split()):
                 return True
         return False
 
@@ -241,7 +274,7 @@ class Page:
                 owner[i] = i
             if owner[i] >= 0 and (owner[i] not in top or self.sums[i] > self.sums[top[owner[i]]]):
                 top[owner[i]] = i
-        out = {self._raise(best)} | {self._widened(i) for i in top.values()}
+        out = {self._widened(self._container(best), threshold)} | {self._widened(i, threshold) for i in top.values()}
         # and so does every article, of however many below one such subtree; one next to a core article is a part like it,
         # whose density is lower than that of the whole just because it is smaller
         beside = {self.parent[i] for i in out if self.tag[i] == "article"}
@@ -251,25 +284,20 @@ class Page:
     def _reaches(self, node: int, threshold: float) -> bool:
         return self.density[node] >= threshold and self.chars[node] > 2 * self.link_chars[node]
 
-    def _widened(self, node: int) -> int:
-        """The enclosing article or main element, if there is one."""
-        up = node
-        while up > 0 and self.tag[up] not in _CORE:
-            up = self.parent[up]
-        return up if up > 0 else node
-
-    def _raise(self, node: int) -> int:
-        """The enclosing article, else main element, else the node; single blocks give way to their container."""
-        found, up = None, node
+    def _widened(self, node: int, threshold: float) -> int:
+        """The nearest article, else main element, around the node if it reaches the threshold."""
+        main, up = node, node
         while up > 0:
-            if self.tag[up] == "article":
-                return up
-            if self.tag[up] == "main" and found is None:
-                found = up
+            if self.tag[up] in _CORE and self._reaches(up, threshold):
+                if self.tag[up] == "article":
+                    return up
+                main = up if main == node else main
             up = self.parent[up]
-        if found is not None:
-            return found
-        while node > 0 and self.tag[node] not in _CONTAINER | {"body"} and self.parent[node] > 0:
+        return main
+
+    def _container(self, node: int) -> int:
+        """Single blocks give way to what holds them."""
+        while node > 0 and self.tag[node] not in _CONTAINER | _CORE | {"body"} and self.parent[node] > 0:
             node = self.parent[node]
         return node
 
@@ -282,25 +310,28 @@ class Page:
             up = self.parent[up]
         return {i for i in range(1, first) if self.tag[i] in _HEADING and self.parent[i] in line and not self.aside[i]}
 
-    def _link_lists(self) -> list[bool]:
-        """Containers made of links, and all below them."""
-        out = [False] * len(self.tag)
-        for i in range(1, len(self.tag)):
-            out[i] = out[self.parent[i]] or (self.tag[i] in _CONTAINER and self.link_tags[i] >= 3 and self.link_chars[i] > 0.6 * self.chars[i])
+    def _link_lists(self, cores: set[int]) -> list[bool]:
+        """Containers made of links, and all below them; none inside an article or main element that is a core."""
+        n = len(self.tag)
+        out, kept = [False] * n, [False] * n
+        for i in range(1, n):
+            p = self.parent[i]
+            kept[i] = kept[p] or (i in cores and self.tag[i] in _CORE)
+            out[i] = out[p] or (not kept[i] and self.tag[i] in _CONTAINER and self.link_tags[i] >= 3 and self.link_chars[i] > 0.6 * self.chars[i])
         return out
 
     def text(self) -> str:
         cores = self.cores()
         if not cores:
             return ""
-        links, inside = self._link_lists(), [False] * len(self.tag)
+        links, inside = self._link_lists(cores), [False] * len(self.tag)
         for i in range(len(self.tag)):
             inside[i] = i in cores or (i > 0 and inside[self.parent[i]])
         blocks, parts = [], []
 
         def end() -> None:
             if parts:
-                block = _SPACE.sub(" ", _html.unescape("".join(parts))).strip()
+                block = _SPACE.sub(" ", "".join(map(_html.unescape, parts))).strip()
                 if block:
                     blocks.append(block)
                 parts.clear()
@@ -327,4 +358,4 @@ def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = df.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), text_of(html_column).alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return mapped(rows, run, "page_id long, url string, text string, n_chars long")

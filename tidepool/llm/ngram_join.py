@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, join_held, text_of, written
+from .common import fresh, join_held, mapped, release, text_of, written
 from .token_counts import BATCH_CHARS, groups_by_size
 
 TREES, DEPTH, LANE = 20, 7, 9
@@ -79,7 +79,7 @@ def signatures(rows: DataFrame) -> DataFrame:
         factors = np.random.default_rng(2).integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in groups_by_size(texts, BATCH_CHARS // 4):
+            for a, b in groups_by_size(texts, BATCH_CHARS):
                 values, at = distinct(*shingles(texts[a:b]))
                 n = np.diff(at)
                 some = np.flatnonzero(n)
@@ -97,7 +97,7 @@ def signatures(rows: DataFrame) -> DataFrame:
                 flat = pa.array(labels.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(node.view(np.int64)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * TREES), flat)], names=["doc_id", "digest", "node", "n_shingles", "labels"])
 
-    return rows.mapInArrow(run, "doc_id long, digest long, node long, n_shingles long, labels array<long>")
+    return mapped(rows, run, "doc_id long, digest long, node long, n_shingles long, labels array<long>")
 
 
 def forest(nodes: DataFrame, shortest: int, partitions: int | None = None) -> DataFrame:
@@ -140,7 +140,7 @@ def forest(nodes: DataFrame, shortest: int, partitions: int | None = None) -> Da
     flat = nodes.select(F.posexplode("labels").alias("tree", "label"), "node").select(F.col("tree").cast("byte").alias("tree"), "label", "node")
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = flat.repartitionByRange(partitions, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
-    found = written(placed.mapInArrow(run, "a long, b long, depth int, tree int, range int"), "forest")
+    found = written(mapped(placed, run, "a long, b long, depth int, tree int, range int"), "forest")
     ends = sorted((r.range, r.depth == -2, r.tree, r.b, r.a) for r in found.where("depth < 0").collect())  # two rows a range
     ties = []
     for (_, closing, t1, l1, n1), (_, _, t2, l2, n2) in zip(ends, ends[1:], strict=False):
@@ -215,6 +215,7 @@ def _verify(threshold: float, depth: int):
     def run(table: pa.Table) -> pa.Table:
         import numpy as np
 
+        release()  # what the group before has left
         table = table.combine_chunks()
         node, side, weight = (table.column(c).to_numpy() for c in ("node", "side", "weight"))
         lists = table.column("hashes").chunk(0) if table.num_rows else None
@@ -281,7 +282,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["node", "hashes"])
                 yield out.filter(pa.array(node.view(np.int64) == batch.column(0).slice(a, b - a).to_numpy()))
 
-    return rows.mapInArrow(run, "node long, hashes array<long>")
+    return mapped(rows, run, "node long, hashes array<long>")
 
 
 def _digest(text_column: str):

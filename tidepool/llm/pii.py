@@ -1,11 +1,16 @@
 """Personal data by weak supervision (operator 4).
 
-Four kinds have a base pattern each; its valid matches always count. Beside
-them, looser patterns propose spans. Four labelers (format, gazetteer, context,
-boundary) vote for, against or not at all on every span; expectation-maximisation
-over the counts of vote patterns estimates how far each can be trusted, by kind;
-a logistic classifier over votes and shape is then trained on the posteriors and
-decides which proposed spans are added.
+Four kinds have a base pattern each; its valid matches always count. What the
+method adds is chosen from looser proposals: obfuscated addresses, other address
+and number formats, matches of a base pattern that fail its check, and a fifth
+kind, ``secret``: long runs of letters and digits such as keys and tokens.
+
+Four labelers vote for, against or not at all on every span: its format, a
+gazetteer (country domains, dial codes, issuer digits, known forms of keys),
+the ``CONTEXT`` characters before it, and what it borders on. Expectation-
+maximisation over the counts of vote patterns estimates how far each can be
+trusted, by kind; a logistic classifier over votes and shape is then trained on
+the posteriors and decides which proposed spans are added.
 
 Only built-in functions touch rows. The two fits run on counts of patterns, whose
 number is bounded by the labelers (``MOST_PATTERNS``), not by the data.
@@ -14,9 +19,11 @@ Offsets come from cutting a text at its matches and adding up the lengths, in
 two levels, so long lists of matches stay cheap. Patterns are possessive and
 tied to the start of a run, which keeps their matches and makes them linear.
 
-Edge cases: a null text has no spans; repeated rows each get their row; texts of
-any length are searched whole; an empty table gives an empty result and no fit;
-other columns are not read.
+Edge cases: a null text has no spans; repeated rows and null ids each get their
+row; texts of any length are searched whole; a proposed span that overlaps a base
+span of its kind gives way to it; of two proposals that overlap both go; spans
+with an equal start are in order of kind, then end; an empty table gives an empty
+result and no fit; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of, written
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: The base patterns, with possessive repeats where nothing that follows could match less.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -42,6 +49,7 @@ LOOSE = {
     "ip": r"(?=[0-9A-Fa-f]{1,4}:)(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?=[0-9])(?<![0-9./])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9./])",
     "phone": r"(?=[(0-9])(?<![0-9+(.-])(?<!\+[0-9]{1,3} ?)(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    "secret": r"(?=[A-Za-z0-9])(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{20,}+",
 }
 #: What a text must hold for the pattern to be tried.
 NEEDS = {"email": "@", "phone": "+"}
@@ -51,18 +59,23 @@ GAZETTEER = {
     "ip": r"^(?:(?!0|127\.)0*(?:22[0-3]|2[01][0-9]|1[0-9]{2}|[0-9]{1,2})\.|2[0-9A-Fa-f]{3}:)",
     "card": r"^[3-6]",
     "phone": r"^(?:\+(?:1|7|20|27|3[0-469]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9])",
+    "secret": r"^(?:gh[pousr]_|sk-|pk-|xox[abprs]-|AKIA|ASIA|AIza|eyJ|glpat-|[0-9a-f]{32}$|[0-9a-f]{40}$|[0-9a-f]{64}$|[0-9A-F]{32}$|[0-9A-F]{40}$|[0-9A-F]{64}$)",
 }
 FOR = {
     "email": r"(?i)(?:mail|contact|kontakt|correo|courriel|write|reach)",
     "ip": r"(?i)(?:\bip\b|address|adresse|host|server|client|login|from)",
     "card": r"(?i)(?:card|karte|carte|tarjeta|visa|credit|pay)",
     "phone": r"(?i)(?:tel|phone|call|fax|mobil|handy|llam|appel)",
+    "secret": r"(?i)(?:token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential)",
 }
 AGAINST = r"(?i)(?:version|isbn|serial|order|invoice|sha|hash|token|secret|ref\b|build|doi)"
+AGAINST_SECRET = r"(?i)(?:version|isbn|serial|order|invoice|sha|hash|commit|checksum|digest|uuid|ref\b|build|doi)"
+CONTEXT = 24
 VOTERS = ("format", "gazetteer", "context", "boundary")
 #: kinds x loose or not x three votes of four labelers x three sizes x separators or none
-MOST_PATTERNS = 4 * 2 * 3**4 * 3 * 2
+MOST_PATTERNS = 5 * 2 * 3**4 * 3 * 2
 BLOCK = 256
+TRUST = 0.1
 
 
 def prefix_sums(values: Column) -> Column:
@@ -100,6 +113,7 @@ def valid(kind: str, x: Column) -> Column:
         "ip": x.rlike(rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"),
         "card": F.when(n.between(12, 19), luhn(digits_of(x))).otherwise(False),
         "phone": n.between(9, 15),
+        "secret": F.lit(True),
     }[kind]
 
 
@@ -108,13 +122,14 @@ def _spans(kind: str, loose: bool, matches: Column, pieces: Column) -> Column:
     lengths = lambda xs: F.transform(xs, lambda x: F.length(x).cast("bigint"))
     steps = F.zip_with(lengths(matches), F.slice(lengths(pieces), F.lit(1), F.size(matches)), lambda a, b: a + b)
     starts = F.zip_with(prefix_sums(steps), lengths(F.slice(pieces, F.lit(1), F.size(matches))), lambda a, b: a + b)
-    made = F.zip_with(F.arrays_zip(matches.alias("m"), starts.alias("s")), F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("b"), F.slice(pieces, F.lit(2), F.size(matches)).alias("a")), lambda x, y: F.struct(x["m"].alias("m"), x["s"].alias("s"), F.right(y["b"], F.lit(24)).alias("before"), F.left(y["a"], F.lit(1)).alias("after")))
+    made = F.zip_with(F.arrays_zip(matches.alias("m"), starts.alias("s")), F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("b"), F.slice(pieces, F.lit(2), F.size(matches)).alias("a")), lambda x, y: F.struct(x["m"].alias("m"), x["s"].alias("s"), F.right(y["b"], F.lit(CONTEXT)).alias("before"), F.left(y["a"], F.lit(1)).alias("after")))
 
     def span(x: Column) -> Column:
         m, before, after = x["m"], x["before"], x["after"]
         ok, n = valid(kind, m), F.length(digits_of(m))
         if loose:
-            form = {"email": F.lit(0), "ip": F.lit(1), "card": F.when(luhn(digits_of(m)), 1).otherwise(-1), "phone": F.when(digits_of(m).rlike("^[01]"), -1).otherwise(0)}[kind]
+            mixed = m.rlike("[A-Za-z]") & (n * 8 >= F.length(m))
+            form = {"email": F.lit(0), "ip": F.lit(1), "card": F.when(luhn(digits_of(m)), 1).otherwise(-1), "phone": F.when(digits_of(m).rlike("^[01]"), -1).otherwise(0), "secret": F.when(mixed, 1).otherwise(-1)}[kind]
         else:
             form = F.when(ok, 1).otherwise(-1)
         plain = F.regexp_replace(m, r"(?i) ?[\[({] ?dot ?[\])}] ?", ".") if kind == "email" else m
@@ -122,21 +137,20 @@ def _spans(kind: str, loose: bool, matches: Column, pieces: Column) -> Column:
             F.lit(KINDS.index(kind)).alias("kind"),
             x["s"].alias("start"),
             (x["s"] + F.length(m)).alias("end"),
-            F.lit(loose).alias("loose"),
-            (ok | F.lit(loose)).alias("ok"),
+            (F.lit(True) if loose else ~ok).alias("loose"),
             form.cast("int").alias("format"),
             F.when(plain.rlike(GAZETTEER[kind]), 1).otherwise(-1).alias("gazetteer"),
-            F.when(before.rlike(FOR[kind]), 1).when(before.rlike(AGAINST), -1).otherwise(0).alias("context"),
+            F.when(before.rlike(FOR[kind]), 1).when(before.rlike(AGAINST_SECRET if kind == "secret" else AGAINST), -1).otherwise(0).alias("context"),
             F.when(F.right(before, F.lit(1)).rlike(r"[A-Za-z0-9]") | after.rlike(r"[A-Za-z0-9]"), -1).otherwise(1).alias("boundary"),
             F.when(n < 8, 0).when(n < 12, 1).otherwise(2).alias("digits"),
             F.when(m.rlike(r"[\x20()-]"), 1).otherwise(0).alias("parted"),
         )
 
-    return F.filter(F.transform(made, span), lambda x: x["ok"])
+    return F.transform(made, span)
 
 
 def candidates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, spans): base spans and loose ones that touch no base span of their kind."""
+    """(doc_id, spans): base spans, and proposals that overlap no other span of their kind."""
     rows = df.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     for group, patterns in (("b", BASE), ("l", LOOSE)):
         for k, p in patterns.items():
@@ -153,8 +167,8 @@ def candidates(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             rows = rows.withColumn(f"{group}p_{k}", F.when(F.size(f"{group}_{k}") > 0, F.split("text", p, -1)))
     kinds = []
     for k in KINDS:
-        none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,loose:boolean,ok:boolean,format:int,gazetteer:int,context:int,boundary:int,digits:int,parted:int>>")
-        parts = [F.when(F.col(f"{g}p_{k}").isNotNull(), _spans(k, g == "l", F.col(f"{g}_{k}"), F.col(f"{g}p_{k}"))).otherwise(none) for g in "bl"]
+        none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,loose:boolean,format:int,gazetteer:int,context:int,boundary:int,digits:int,parted:int>>")
+        parts = [F.when(F.col(f"{g}p_{k}").isNotNull(), _spans(k, g == "l", F.col(f"{g}_{k}"), F.col(f"{g}p_{k}"))).otherwise(none) for g, patterns in (("b", BASE), ("l", LOOSE)) if k in patterns]
         rows = rows.withColumn(f"both_{k}", F.array_sort(F.concat(*parts), lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).when(x["loose"], 1).otherwise(-1)))
         kinds.append(_without_touching(F.col(f"both_{k}")))
     return rows.select("doc_id", F.concat(*kinds).alias("spans"))
@@ -174,11 +188,22 @@ def estimate_reliabilities(counts: dict[tuple, float], rounds: int = 40) -> dict
     """counts: {(kind, votes): spans}. Posterior of each pattern, by expectation-maximisation.
 
     Each kind has a share of true spans, and each labeler of that kind the
-    chances of its three votes on true and on false spans.
+    chances of its three votes on true and on false spans. Labelers are taken to
+    be right more often than not: ``TRUST`` of a kind's spans, as many again as
+    if counted, speak for that. Without it, votes that never disagree would
+    leave open which of two patterns is the true one.
     """
-    posterior = {k: 1 / (1 + math.exp(-(0.5 + sum(k[1])))) for k in counts}  # to begin with: the votes' sum
+    size: dict[int, float] = {}
+    for (kind, _), n in counts.items():
+        size[kind] = size.get(kind, 0.0) + n
+    posterior = {k: 1 / (1 + math.exp(1 - 2 * k[1][0] - sum(k[1][1:]))) for k in counts}  # to begin with: the votes' sum, the format's twice
     for _ in range(rounds):
-        share, chance = {}, {}
+        share, chance, told = {}, {}, {}
+        for kind, n in size.items():
+            for i in range(len(VOTERS)):
+                for y, v in ((1, 1), (0, -1)):
+                    chance[kind, y, i, v] = 1.0 + TRUST * n
+                    told[kind, y, i] = TRUST * n
         for (kind, votes), n in counts.items():
             for y, p in ((1, posterior[kind, votes]), (0, 1 - posterior[kind, votes])):
                 share[kind, y] = share.get((kind, y), 1.0) + n * p
@@ -187,8 +212,7 @@ def estimate_reliabilities(counts: dict[tuple, float], rounds: int = 40) -> dict
         for kind, votes in counts:
             both = []
             for y in (0, 1):
-                total = share[kind, y] + 1
-                both.append(math.log(share[kind, y]) + sum(math.log(chance[kind, y, i, v] / total) for i, v in enumerate(votes)))
+                both.append(math.log(share[kind, y]) + sum(math.log(chance[kind, y, i, v] / (share[kind, y] + 2 + told[kind, y, i])) for i, v in enumerate(votes)))
             posterior[kind, votes] = 1 / (1 + math.exp(max(-50, min(50, both[0] - both[1]))))
     return posterior
 
@@ -214,7 +238,7 @@ def train_classifier(counts: dict[tuple, float], posterior: dict[tuple, float],
 
 def _score(x: Column, w: dict[str, float]) -> Column:
     total = F.lit(0.0)
-    for name, values in (("kind", range(4)), ("digits", range(3)), ("parted", range(2)), *((v, (-1, 0, 1)) for v in VOTERS)):
+    for name, values in (("kind", range(len(KINDS))), ("digits", range(3)), ("parted", range(2)), *((v, (-1, 0, 1)) for v in VOTERS)):
         for v in values:
             if weight := w.get(f"{name}={v}"):
                 total = total + F.when(x[name] == v, F.lit(weight)).otherwise(0.0)
@@ -241,4 +265,4 @@ def digest_spans(found: DataFrame) -> DataFrame:
     told = lambda xs: F.array_join(F.transform(F.array_sort(xs), lambda x: F.concat(F.element_at(names, x["kind"] + 1), F.lit(":"), x["start"], F.lit(":"), x["end"])), ",")
     base = F.filter("spans", lambda x: ~x["loose"])
     of = lambda i: F.size(F.filter("spans", lambda x: ~x["loose"] & (x["kind"] == i))).cast("long")
-    return found.select("doc_id", *[of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[of(KINDS.index(k)).alias(f"n_{k}") for k in BASE], F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))

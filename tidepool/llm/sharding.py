@@ -82,15 +82,16 @@ def admitted(wishes: np.ndarray, free: np.ndarray) -> np.ndarray:
     np.fill_diagonal(rest, 0)
 
     def cycle(start: int) -> list[int] | None:
-        came, queue = {start: None}, [start]
+        queue = np.flatnonzero(rest[start, :n]).tolist()  # a wish comes first
+        came = dict.fromkeys(queue, start)
         for x in queue:
-            if x != start and rest[x, start] > 0:
+            if rest[x, start] > 0:
                 path = [x]
-                while came[path[-1]] is not None:
+                while path[-1] != start:
                     path.append(came[path[-1]])
                 return path[::-1]
             for y in np.flatnonzero(rest[x]).tolist():
-                if y not in came:
+                if y != start and y not in came:
                     came[y] = x
                     queue.append(y)
         return None
@@ -104,6 +105,8 @@ def admitted(wishes: np.ndarray, free: np.ndarray) -> np.ndarray:
         least = min(rest[a, b] for a, b in steps)
         for a, b in steps:
             rest[a, b] -= least
+            if a == n:  # who passes rows on without taking any in has more free
+                rest[b, n] += least
 
 
 def limits(bins: np.ndarray, rows: np.ndarray, quota: int) -> tuple[int, int, int]:

@@ -28,8 +28,9 @@ def _word_chars() -> np.ndarray:
     import re
 
     out = np.zeros(0x110000, bool)
-    for m in re.finditer(r"\w+", "".join(map(chr, range(0x110000)))):
-        out[m.start() : m.end()] = True
+    for first in range(0, 0x110000, 4096):  # a piece at a time, to stay small
+        for m in re.finditer(r"\w+", "".join(map(chr, range(first, first + 4096)))):
+            out[first + m.start() : first + m.end()] = True
     return out
 
 
@@ -49,7 +50,7 @@ class Spelled:
         inside = np.concatenate(([False], _word_chars()[points]))
         edges = np.flatnonzero(inside[1:] != inside[:-1])  # a break after each text: begin, end, begin, end ...
         self.begin, self.stop = edges[::2], edges[1::2]
-        power, self._inverse = _powers(max(1 << 20, 1 << int(len(points)).bit_length()))
+        power, self._inverse = _powers(max(1 << 18, 1 << int(len(points)).bit_length()))
         self._sums = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(mix(points.astype(np.uint64) + _MUL) * power[: len(points)], out=self._sums[1:])
         #: Where each text's words begin, and one more.

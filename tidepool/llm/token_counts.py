@@ -15,9 +15,9 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import mapped, text_of
 
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 300_000
 CACHED_PRETOKENS = 400_000
 
 
@@ -122,4 +122,4 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], names=[id_column, "n_bytes", "n_tokens", "over_limit"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, text_of(text_column).alias("text")).mapInArrow(run, f"`{id_column}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(df.select(id_column, text_of(text_column).alias("text")), run, f"`{id_column}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_path, scratch, text_of
+from .common import local_path, mapped, scratch, text_of
 from .token_counts import BATCH_CHARS, CACHED_PRETOKENS, groups_by_size, special_tokens, split_special
 
 NULL_ID = -(1 << 63)
@@ -176,7 +176,8 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
                 out.move(f"{shard:05d}.{k}.{attempt}", f"{shard:05d}.{k}")
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "docs": pa.array([n_docs], pa.int64()), "tokens": pa.array([n_tokens], pa.int64()), "width": pa.array([machine.width], pa.int32())})
 
-    done = rows.repartitionByRange(shards, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie").select("id", "text").mapInArrow(run, "shard int, docs long, tokens long, width int")
+    placed = rows.repartitionByRange(shards, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie").select("id", "text")
+    done = mapped(placed, run, "shard int, docs long, tokens long, width int")
     # one row per shard; base: a prefix sum over the shards
     base, listed = 0, []
     for r in sorted(done.collect()):
@@ -210,7 +211,7 @@ def read_store(spark: SparkSession, path: str, id_column: str = "doc_id", with_i
                     yield pa.RecordBatch.from_arrays(columns, names=[id_column, "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     shards = spark.createDataFrame([(x["shard"], x["docs"], x["tokens"], x["base"], x["width"]) for x in listed], "shard int, docs long, tokens long, base long, width int")
-    return shards.repartition(max(1, len(listed)), "shard").mapInArrow(run, schema)
+    return mapped(shards.repartition(max(1, len(listed)), "shard"), run, schema)
 
 
 def token_ids(df: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:

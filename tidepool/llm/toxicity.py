@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import mapped, text_of, written
 from .token_counts import groups_by_size
 
 FOLDS = 5
@@ -360,7 +360,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, id_column
     n_docs = sum(tally.values())
     if not 0 < n_bad < n_docs:
         return None
-    counted = rows.select("text", "toxic", "part").mapInArrow(_count_forms, "form long, parent long, level int, n long, bad long, n0 long, bad0 long")
+    counted = mapped(rows.select("text", "toxic", "part"), _count_forms, "form long, parent long, level int, n long, bad long, n0 long, bad0 long")
     sums = counted.groupBy("form", "parent", "level").agg(*[F.sum(c).cast("int").alias(c) for c in FORM_COLUMNS[3:]]).where(F.col("n") + F.col("n0") >= LEAST_DOCS)
     found = sums.toArrow()  # numbers only: 36 bytes a form
     order = np.argsort(found.column("form").to_numpy().view(np.uint64))
@@ -382,7 +382,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, id_column
         lexicon(model, slice(None), n + n0, bad + bad0, n_docs, n_bad)
     # what words of clean documents score on average sets the drift
     clean = rest.where("toxic = 0").select("text")
-    bins = clean.mapInArrow(_word_bins(model), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    bins = mapped(clean, _word_bins(model), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
     value, mass = np.array([r.bin / 20 for r in bins]), np.array([float(r.n) for r in bins])
     mass /= max(mass.sum(), 1)
     model.drift = float(max(LEAST_DRIFT, (value * mass).sum() + 0.25)) if len(value) else LEAST_DRIFT
@@ -392,10 +392,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, id_column
         middle = (low + high) / 2
         low, high = (middle, high) if (mass * np.exp(np.minimum(middle * value, 700))).sum() < 1 else (low, middle)
     model.lam = float(low)
-    best = clean.mapInArrow(_best_segments(model), "n long, best double").toArrow()  # two numbers of each calibrating row
+    best = mapped(clean, _best_segments(model), "n long, best double").toArrow()  # two numbers of each calibrating row
     x = model.lam * best.column("best").to_numpy() - np.log(np.maximum(best.column("n").to_numpy(), 1))
     model.k = float(1 / np.exp(-x).mean()) if len(x) else 0.1
-    model.curve = _curve(rest.select("text", "toxic").mapInArrow(_evidence(model), "toxic int, best double, total double, n long").toArrow())
+    model.curve = _curve(mapped(rest.select("text", "toxic"), _evidence(model), "toxic int, best double, total double, n long").toArrow())
     return lexicon(model, slice(None), n + n0, bad + bad0, n_docs, n_bad)
 
 
@@ -429,7 +429,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROW
             scores = m.score(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(scores >= 0.5).cast(pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -443,4 +443,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS,
         for batch in batches:
             yield batch.filter(pa.array(held.value.score([t or "" for t in batch.column(at).to_pylist()]) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -71,11 +71,12 @@ def _classes() -> np.ndarray:
     """The class of every code point."""
     import regex
 
-    every = "".join(map(chr, range(0x110000)))
     out = np.full(0x110000, OTHER, np.uint8)
-    for pattern, c in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", BLANK)):
-        for m in regex.finditer(pattern, every):
-            out[m.start() : m.end()] = c
+    for first in range(0, 0x110000, 4096):  # a piece at a time, to stay small
+        some = "".join(map(chr, range(first, first + 4096)))
+        for pattern, c in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", BLANK)):
+            for m in regex.finditer(pattern, some):
+                out[first + m.start() : first + m.end()] = c
     for letters, c in ((" ", SPACE), ("'", QUOTE), ("stmd", STMD), ("rv", RV), ("e", E), ("l", L)):
         for x in letters:
             out[ord(x)] = c
@@ -188,7 +189,7 @@ class Pretokens:
         raw = np.frombuffer(self.data, np.uint8)
         cls = type(self)
         if len(cls._powers) <= len(raw):
-            n = max(1 << 20, 2 * len(raw))
+            n = max(1 << 18, 2 * len(raw))
             cls._powers, cls._inverse = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, m, np.uint64)))) for m in (_ODD, _ODD_INVERSE))
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(self._byte[raw] * cls._powers[: len(raw)], out=sums[1:])
