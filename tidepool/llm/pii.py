@@ -7,7 +7,8 @@ kind, ``secret``: long runs of letters and digits such as keys and tokens.
 
 Four labelers vote for, against or not at all on every span: its format, a
 gazetteer (country domains, dial codes, issuer digits, known forms of keys),
-the ``CONTEXT`` characters before it, and what it borders on. Expectation-
+the ``CONTEXT`` characters before it, and what it borders on, which can only
+speak against it. Expectation-
 maximisation over the counts of vote patterns estimates how far each can be
 trusted, by kind; a logistic classifier over votes and shape is then trained on
 the posteriors and decides which proposed spans are added.
@@ -75,7 +76,7 @@ VOTERS = ("format", "gazetteer", "context", "boundary")
 #: kinds x loose or not x three votes of four labelers x three sizes x separators or none
 MOST_PATTERNS = 5 * 2 * 3**4 * 3 * 2
 BLOCK = 256
-TRUST = 0.1
+ERRS = 0.1
 
 
 def prefix_sums(values: Column) -> Column:
@@ -141,11 +142,13 @@ def _spans(kind: str, loose: bool, matches: Column, pieces: Column) -> Column:
             form.cast("int").alias("format"),
             F.when(plain.rlike(GAZETTEER[kind]), 1).otherwise(-1).alias("gazetteer"),
             F.when(before.rlike(FOR[kind]), 1).when(before.rlike(AGAINST_SECRET if kind == "secret" else AGAINST), -1).otherwise(0).alias("context"),
-            F.when(F.right(before, F.lit(1)).rlike(r"[A-Za-z0-9]") | after.rlike(r"[A-Za-z0-9]"), -1).otherwise(1).alias("boundary"),
+            F.when(F.right(before, F.lit(1)).rlike(r"[A-Za-z0-9]") | after.rlike(r"[A-Za-z0-9]"), -1).otherwise(0).alias("boundary"),
             F.when(n < 8, 0).when(n < 12, 1).otherwise(2).alias("digits"),
             F.when(m.rlike(r"[\x20()-]"), 1).otherwise(0).alias("parted"),
         )
 
+    if kind == "card" and not loose:  # a few digits are no proposal of a card
+        made = F.filter(made, lambda x: F.length(digits_of(x["m"])).between(12, 19))
     return F.transform(made, span)
 
 
@@ -188,31 +191,23 @@ def estimate_reliabilities(counts: dict[tuple, float], rounds: int = 40) -> dict
     """counts: {(kind, votes): spans}. Posterior of each pattern, by expectation-maximisation.
 
     Each kind has a share of true spans, and each labeler of that kind the
-    chances of its three votes on true and on false spans. Labelers are taken to
-    be right more often than not: ``TRUST`` of a kind's spans, as many again as
-    if counted, speak for that. Without it, votes that never disagree would
-    leave open which of two patterns is the true one.
+    chances of its three votes on true and on false spans. Every vote counts as
+    seen once before, but a format's check that errs only ``ERRS`` times: two
+    patterns that differ in one vote would leave open which is the true one.
     """
-    size: dict[int, float] = {}
-    for (kind, _), n in counts.items():
-        size[kind] = size.get(kind, 0.0) + n
     posterior = {k: 1 / (1 + math.exp(1 - 2 * k[1][0] - sum(k[1][1:]))) for k in counts}  # to begin with: the votes' sum, the format's twice
     for _ in range(rounds):
-        share, chance, told = {}, {}, {}
-        for kind, n in size.items():
-            for i in range(len(VOTERS)):
-                for y, v in ((1, 1), (0, -1)):
-                    chance[kind, y, i, v] = 1.0 + TRUST * n
-                    told[kind, y, i] = TRUST * n
+        share, chance = {}, {}
+        before = lambda y, i, v: ERRS if i == 0 and v == 1 - 2 * y else 1.0
         for (kind, votes), n in counts.items():
             for y, p in ((1, posterior[kind, votes]), (0, 1 - posterior[kind, votes])):
                 share[kind, y] = share.get((kind, y), 1.0) + n * p
                 for i, v in enumerate(votes):
-                    chance[kind, y, i, v] = chance.get((kind, y, i, v), 1.0) + n * p
+                    chance[kind, y, i, v] = chance.get((kind, y, i, v), before(y, i, v)) + n * p
         for kind, votes in counts:
             both = []
             for y in (0, 1):
-                both.append(math.log(share[kind, y]) + sum(math.log(chance[kind, y, i, v] / (share[kind, y] + 2 + told[kind, y, i])) for i, v in enumerate(votes)))
+                both.append(math.log(share[kind, y]) + sum(math.log(chance[kind, y, i, v] / (share[kind, y] + 2)) for i, v in enumerate(votes)))
             posterior[kind, votes] = 1 / (1 + math.exp(max(-50, min(50, both[0] - both[1]))))
     return posterior
 
