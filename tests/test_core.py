@@ -105,7 +105,7 @@ def test_rolling_stream_equals_batch(spark, tmp_path):
 
     events = Views(spark, SF).ledger().select(F.col("user_id").alias("label"), F.col("sample_index").alias("t"), F.abs("amplitude_uv").alias("v"))
     events.orderBy("t").coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = rolling.rolling_templates(rolling.event_stream(spark, str(tmp_path / "in"), events.schema), str(tmp_path / "out"), 43200, 6)
+    q = rolling.rolling_templates(rolling.event_stream(spark, str(tmp_path / "in"), events.schema), str(tmp_path / "out"), 43200)
     q.awaitTermination(120)
     a, b = rolling.snapshot(spark, str(tmp_path / "out"), 6).collect(), consolidate.rolling_bins(events, 43200, 6).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_PENDING = 4096
+ISLANDS = 2000
 
 
 def group_island(rows: pd.DataFrame, radius: int, patches: dict[int, set[int]], most: int = MOST_PENDING) -> list[dict]:
@@ -17,22 +19,30 @@ def group_island(rows: pd.DataFrame, radius: int, patches: dict[int, set[int]],
     strictly higher SNR moves the anchor. Groups close once a row is more than
     ``radius`` after their first.
     """
+    return _grouped(_records(rows), radius, patches, most)
+
+
+def _records(rows: pd.DataFrame) -> list[tuple]:
+    return list(zip(*(rows[c].tolist() for c in ("row_id", "sample_index", "channel_index", "amplitude_uv", "snr")), strict=True))
+
+
+def _grouped(records: list[tuple], radius: int, patches: dict[int, set[int]], most: int = MOST_PENDING) -> list[dict]:
     open_, done = [], []
-    for r in rows.itertuples(index=False):
-        t, c, negative = int(r.sample_index), int(r.channel_index), r.amplitude_uv < 0
+    for row_id, t, c, amplitude, snr in records:
+        negative = amplitude < 0
         closed = [g for g in open_ if t - g["first"] > radius]
         done += closed
         open_ = [g for g in open_ if t - g["first"] <= radius]
         fit = [g for g in open_ if g["negative"] == negative and (c in patches[g["channel"]] or g["channel"] in patches[c])]
         if fit:
             g = min(fit, key=lambda g: (abs(t - g["anchor"]), -g["snr"], g["opened"]))
-            g["members"].append(int(r.row_id))
-            if r.snr > g["snr"]:
-                g.update(anchor=t, channel=c, snr=float(r.snr))
+            g["members"].append(row_id)
+            if snr > g["snr"]:
+                g.update(anchor=t, channel=c, snr=snr)
         else:
             if len(open_) >= most:
                 raise ValueError(f"over {most} pending groups")
-            open_.append({"first": t, "anchor": t, "channel": c, "snr": float(r.snr), "negative": negative, "opened": len(done) + len(open_), "members": [int(r.row_id)]})
+            open_.append({"first": t, "anchor": t, "channel": c, "snr": snr, "negative": negative, "opened": len(done) + len(open_), "members": [row_id]})
     return sorted(done + open_, key=lambda g: (g["first"], g["opened"]))
 
 
@@ -57,16 +67,16 @@ def consolidate(ledger: DataFrame, patches: dict[int, set[int]], radius: int) ->
     """(first_sample, anchor_sample, channel_index, snr, n, members) of every group."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sample_index", "channel_index", "row_id"])
-        g = group_island(rows, radius, patches)
+        rows = rows.sort_values(["island", "sample_index", "channel_index", "row_id"])
+        cuts = np.flatnonzero(np.diff(rows["island"].to_numpy(), prepend=-1, append=-1))
+        records = _records(rows)
+        g = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in _grouped(records[a:b], radius, patches)]
         return pd.DataFrame({"first_sample": [x["first"] for x in g], "anchor_sample": [x["anchor"] for x in g], "channel_index": [x["channel"] for x in g], "snr": [x["snr"] for x in g], "n": [len(x["members"]) for x in g], "members": [x["members"] for x in g]})
 
     marked = islands(ledger.select("row_id", "sample_index", "channel_index", "amplitude_uv", "snr"), radius)
-    # islands of one row are their own group: no Python for them
-    sized = marked.withColumn("_n", F.count("*").over(Window.partitionBy("island")))
-    alone = sized.where("_n = 1").select(F.col("sample_index").alias("first_sample"), F.col("sample_index").alias("anchor_sample"), "channel_index", "snr", F.lit(1).cast("long").alias("n"), F.array("row_id").alias("members"))
+    # islands are small and many, so a task takes many at a time
     schema = "first_sample long, anchor_sample long, channel_index long, snr double, n long, members array<long>"
-    return alone.unionByName(sized.where("_n > 1").drop("_n").groupBy("island").applyInPandas(run, schema))
+    return marked.withColumn("_chunk", F.floor(F.col("island") / ISLANDS)).groupBy("_chunk").applyInPandas(run, schema)
 
 
 def epochs(events: DataFrame, bin_samples: int) -> DataFrame:
@@ -78,4 +88,4 @@ def rolling_bins(events: DataFrame, bin_samples: int, window: int, most: float =
     """Per unit and bin the trailing mean over ``window`` bins, each bin's weight capped."""
     bins = events.groupBy("label", F.floor(F.col("t") / bin_samples).alias("bin")).agg(F.count("*").alias("n"), (F.sum(F.col("v").cast("decimal(38,6)")).cast("double") / F.count("*")).alias("mean")).withColumn("w", F.least(F.col("n").cast("double"), F.lit(most)))
     span = Window.partitionBy("label").orderBy("bin").rangeBetween(-(window - 1), 0)
-    return bins.select("label", "bin", "n", F.round(F.sum(F.col("w") * F.col("mean")).over(span) / F.sum("w").over(span) + 1e-9, 4).alias("rolling"))
+    return bins.select("label", "bin", "n", (F.sum(F.col("w") * F.col("mean")).over(span) / F.sum("w").over(span)).alias("rolling"))

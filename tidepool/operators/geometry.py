@@ -28,7 +28,7 @@ def within(left: DataFrame, right: DataFrame, radius: float, same: list[str] = (
 
 def neighbours(channels: DataFrame, radius: float) -> DataFrame:
     at = channels.select(F.col("channel_index").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return within(at, at, radius).select(F.col("left").alias("channel"), F.col("right").alias("neighbour"), F.round("distance", 6).alias("distance"))
+    return within(at, at, radius).select(F.col("left").alias("channel"), F.col("right").alias("neighbour"), "distance")
 
 
 def channel_map(channels: DataFrame, radius: float, most: int, group: str = "shank") -> DataFrame:

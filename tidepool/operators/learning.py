@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
 from .templates import SLOTS, dot, energy, exploded
 
 LEAST_SNIPPETS, LEAST_MEMBERS, MOST_CLUSTERS, ROUNDS = 20, 10, 4, 8
@@ -71,7 +70,7 @@ def duplicate_pairs(templates: DataFrame, channels: DataFrame, threshold: float
     met = left.join(near, "anchor").join(right, "other").where("left < right")
     common = F.array_intersect(F.map_keys("ml"), F.map_keys("mr"))
     both = F.flatten(F.transform(common, lambda c: F.try_element_at("ml", c))), F.flatten(F.transform(common, lambda c: F.try_element_at("mr", c)))
-    score = F.round(dot(*both) / F.sqrt(F.col("el") * F.col("er")), 6)
+    score = dot(*both) / F.sqrt(F.col("el") * F.col("er"))
     return met.where(F.size(common) > 0).select("left", "right", score.alias("score")).where(F.col("score") >= threshold)
 
 
@@ -83,7 +82,7 @@ def linked_identities(units: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     context = units.sparkSession.sparkContext
     if context.getCheckpointDir() is None:  # only where the cluster names none, as in tests
-        context.setCheckpointDir(tempfile.mkdtemp())
+        context.setCheckpointDir(shared_folder(units.sparkSession))
     links = pairs.select(F.col("left").alias("a"), F.col("right").alias("b"))
     links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     roots = units.select("unit", F.col("unit").alias("root"))

@@ -18,7 +18,7 @@ def robust_noise(values: DataFrame, key: str = "channel_index", value: str = "am
 
 
 def with_snr(ledger: DataFrame, noise: DataFrame) -> DataFrame:
-    return ledger.join(F.broadcast(noise), "channel_index").withColumn("snr", F.round(F.abs("amplitude_uv") / F.col("noise_uv"), 6)).drop("noise_uv")
+    return ledger.join(F.broadcast(noise), "channel_index").withColumn("snr", F.abs("amplitude_uv") / F.col("noise_uv")).drop("noise_uv")
 
 
 def query(ledger: DataFrame, snr: float, saved_floor: float = 0.0, time: tuple[int | None, int | None] = (None, None), channels: list[int] | None = None, known: set[int] | None = None, polarity: str = "both") -> DataFrame:
@@ -73,8 +73,9 @@ def quantised(value: Column, scale: float) -> Column:
     return F.when(F.abs(q) <= 32767, q).otherwise(F.raise_error(F.lit("value out of int16 range")).cast("double")).cast("int")
 
 
-def events_from_index(df: DataFrame, channels: int, index: str) -> DataFrame:
-    return df.withColumn("t", F.floor(F.col(index) / channels)).withColumn("channel", F.pmod(F.col(index), F.lit(channels)))
+def events_from_index(df: DataFrame, channels: int, index: str, offset: int = 0) -> DataFrame:
+    """Sample and channel of a flat index; samples count from ``offset``."""
+    return df.withColumn("t", F.floor(F.col(index) / channels) + offset).withColumn("channel", F.pmod(F.col(index), F.lit(channels)))
 
 
 def csr_offsets(lists: DataFrame, order: str, size: str) -> DataFrame:

@@ -62,7 +62,7 @@ def two_pointer(left: np.ndarray, right: np.ndarray, tolerance: int) -> tuple[np
     return np.array(a, int), np.array(b, int)
 
 
-def matched_pairs(truth: DataFrame, predicted: DataFrame, tolerance: int, chunk: int = 1 << 30) -> DataFrame:
+def matched_pairs(truth: DataFrame, predicted: DataFrame, tolerance: int) -> DataFrame:
     """Per pair of labels that ever meet: how many match one to one. Each pair's times go to one task."""
     met = interval_pairs(truth, predicted, tolerance).select(F.col("label").alias("l1"), F.col("label2").alias("l2")).distinct()
     a = truth.select("t", F.col("label").alias("k")).join(met, F.col("k") == F.col("l1")).select(F.col("l1").alias("label"), F.col("l2").alias("label2"), "t")
@@ -119,7 +119,7 @@ def unit_assignment(truth: DataFrame, predicted: DataFrame, tolerance: int) -> D
         left, right = np.unique(p["label"]), np.unique(p["label2"])
         w = np.zeros((len(left), len(right)))
         w[np.searchsorted(left, p["label"]), np.searchsorted(right, p["label2"])] = p["iou"]
-        found = [(left[i], right[j], round(w[i, j], 6)) for i, j in assignment(w) if w[i, j] > 0]
+        found = [(left[i], right[j], w[i, j]) for i, j in assignment(w) if w[i, j] > 0]
         yield pd.DataFrame(found, columns=["label", "label2", "iou"])
 
     return rows.select("label", "label2", "iou").coalesce(1).mapInPandas(solve, "label long, label2 long, iou double")
@@ -137,7 +137,7 @@ def split_and_merged(truth: DataFrame, predicted: DataFrame, tolerance: int, sha
 def isi_violations(points: DataFrame, limit: int) -> DataFrame:
     """Per unit the share of gaps below ``limit``."""
     gap = F.col("t") - F.lag("t").over(Window.partitionBy("label").orderBy("t"))
-    return points.withColumn("_g", gap).groupBy("label").agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg((F.col("_g") < limit).cast("double")), F.lit(0.0)), 6).alias("violations"))
+    return points.withColumn("_g", gap).groupBy("label").agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("_g") < limit).cast("double")), F.lit(0.0)).alias("violations"))
 
 
 def isolated(points: DataFrame, limit: int, contact: Column) -> DataFrame:

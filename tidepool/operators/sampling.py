@@ -35,8 +35,8 @@ def allocate_quotas(counts: list[int], budget: int, least: int) -> list[int]:
     n = np.asarray(counts, np.int64)
     budget = int(min(budget, n.sum()))
     quota = np.minimum(n, least)
-    if quota.sum() > budget:
-        raise ValueError("the budget is below the floors")
+    if quota.sum() > budget:  # no floor, then
+        quota = np.zeros_like(n)
     while (left := budget - int(quota.sum())) > 0:
         room = n - quota
         weight = np.where(room > 0, np.sqrt(n), 0.0)
@@ -93,3 +93,53 @@ def waveform_cache(df: DataFrame, budget: int) -> DataFrame:
     first = df.withColumn("_r", F.row_number().over(high))
     rest = least_per_group(first.where(F.col("_r") > budget // 2), ["block_id"], lambda: H.by_product(F.col("sample_index"), F.col("channel_index")), budget - budget // 2)
     return first.where(F.col("_r") <= budget // 2).withColumn("why", F.lit("snr")).drop("_r").unionByName(rest.withColumn("why", F.lit("hash")).drop("_r"))
+
+
+def quantile_edges(df: DataFrame, index: str, value: str, rows: int = 100_000) -> DataFrame:
+    """Median and ninth decile of every k-th row, k such that about ``rows`` are left. ``index`` is gapless from 0."""
+    n = df.agg(F.count("*")).first()[0]
+    some = df.where(F.pmod(F.col(index), F.lit(max(1, n // rows))) == 0)
+    return some.agg(F.percentile(value, 0.5).alias("q50"), F.percentile(value, 0.9).alias("q90"))
+
+
+def window_evidence(df: DataFrame, unit: str, window: str, sample: str, most: int) -> DataFrame:
+    """Per (unit, window) the ``most`` samples of least priority, each sample once; the same whatever order rows come in."""
+    once = df.withColumn("_one", F.row_number().over(Window.partitionBy(unit, window, sample).orderBy(*[c for c in df.columns if c not in (unit, window, sample)]))).where("_one = 1").drop("_one")
+    return least_per_group(once, [unit, window], lambda: H.by_time(F.col(sample)), most)
+
+
+def stratum_ids(df: DataFrame, centres: list[float], time_step: int, depth_min: float, depth_bins: int, depth_bin: float, edges: list[float]) -> DataFrame:
+    """((time * shank) * depth) * amplitude strata of rows (t, x, depth, size): nearest shank centre, depth bins with the deepest in the last."""
+    x = F.col("x")
+    near = F.array_min(F.array(*[F.struct(F.abs(x - c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))["i"]
+    depth = F.least(F.greatest(F.floor((F.col("depth") - depth_min) / depth_bin), F.lit(0)), F.lit(depth_bins - 1))
+    return df.withColumn("stratum", ((F.floor(F.col("t") / time_step) * len(centres) + near) * depth_bins + depth) * (len(edges) + 1) + bucket_left(F.col("size"), edges))
+
+
+def sample_ledger(events: DataFrame, channels: DataFrame, budget: int, seed: int, start: int, stop: int, time_bins: int = 30, depth_bin: float = 80.0, least: int = 4) -> tuple[DataFrame, DataFrame, dict]:
+    """A stratified sample (row_id, stratum, weight), a uniform one (row_id), and a report of a whole ledger.
+
+    events: (row_id, sample_index, channel_index, snr); channels: (channel_index,
+    x, y, shank). Weights are the inverse chances of inclusion. The table of
+    strata and quotas is small; the rows are not collected.
+    """
+    geometry = channels.agg(F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny"), (F.max("x") - F.min("x")).alias("sx"), (F.max("y") - F.min("y")).alias("sy"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")).first()
+    depth = "y" if (geometry.ny, geometry.sy) > (geometry.nx, geometry.sx) else "x"
+    side = "x" if depth == "y" else "y"
+    low, high = (geometry.y0, geometry.y1) if depth == "y" else (geometry.x0, geometry.x1)
+    centres = [r.c for r in channels.groupBy("shank").agg(F.avg(side).alias("c")).orderBy("shank").collect()]  # a row per shank
+    told = quantile_edges(events, "row_id", "snr").first()
+    edges = [told.q50, told.q90]
+    bins = max(1, math.ceil((high - low) / depth_bin))
+    placed = events.join(F.broadcast(channels), "channel_index").select("row_id", (F.col("sample_index") - start).alias("t"), F.col(side).cast("double").alias("x"), F.col(depth).cast("double").alias("depth"), F.col("snr").alias("size"))
+    strata_ = stratum_ids(placed, centres, max(1, math.ceil((stop - start) / time_bins)), float(low), bins, depth_bin, edges).select("row_id", "stratum")
+    counts = strata_.groupBy("stratum").agg(F.count("*").alias("n")).orderBy("stratum").collect()  # a row per stratum
+    quotas = allocate_quotas([r.n for r in counts], budget, least) if counts else []
+    table = df_of(events, [(r.stratum, q, r.n / q) for r, q in zip(counts, quotas, strict=True) if q])
+    chosen = stratified(strata_, "row_id", table.select("stratum", "quota"), seed).join(table.select("stratum", "weight"), "stratum")
+    report = {"rows": sum(r.n for r in counts), "selected": sum(quotas), "strata": len(counts), "selected_strata": sum(q > 0 for q in quotas), "depth_axis": depth, "edges": edges, "seed": seed, "budget": budget}
+    return chosen.select("row_id", "stratum", "weight"), uniform(events, "row_id", budget, seed).select("row_id"), report
+
+
+def df_of(df: DataFrame, rows: list[tuple]) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, "stratum long, quota long, weight double")

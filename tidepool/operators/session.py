@@ -34,13 +34,6 @@ def undeclared_gaps(segments: DataFrame, declared: DataFrame) -> DataFrame:
     return gaps.exceptAll(declared).withColumn("why", F.lit("undeclared")).unionByName(declared.exceptAll(gaps).withColumn("why", F.lit("not a gap")))
 
 
-def latest_before(models: DataFrame, bounds: DataFrame) -> DataFrame:
-    """For each bound the model of the greatest stop not after it: an as-of look-up."""
-    both = models.select(F.col("stop").alias("at"), F.lit(0).alias("kind"), F.col("model")).unionByName(bounds.select(F.col("bound").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("model")))
-    order = Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("m", F.last("model", ignorenulls=True).over(order)).where("kind = 1").select(F.col("at").alias("bound"), F.col("m").alias("model"))
-
-
 def boundary_radius(fits: DataFrame, base: int, least: int = 20, share: float = 0.05) -> DataFrame:
     """Per unit the shift radius after a pilot: one more where enough fits lie on the boundary."""
     edge = F.avg((F.abs("shift") >= base).cast("double"))

@@ -25,7 +25,7 @@ def shifted_cosines(a: Column, b: Column, shifts: int = 2, times: int = 16) -> C
     n = (times - 2 * shifts) * SLOTS
     core = F.slice(a, shifts * SLOTS + 1, n)
     each = [F.struct(cosine(core, F.slice(b, (shifts + s) * SLOTS + 1, n)).alias("score"), F.lit(-s).alias("neg"), F.lit(s).alias("shift")) for s in range(-shifts, shifts + 1)]
-    return F.array_max(F.array(*[F.struct(F.round(e["score"], 6).alias("score"), e["neg"].alias("neg"), e["shift"].alias("shift")) for e in each]))
+    return F.array_max(F.array(*each))
 
 
 def exploded(templates: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def exploded(templates: DataFrame) -> DataFrame:
 def centroids(templates: DataFrame, channels: DataFrame) -> DataFrame:
     e = exploded(templates).groupBy("unit", "contact").agg(F.sum(F.col("value") * F.col("value")).alias("e"))
     met = e.join(F.broadcast(channels), F.col("contact") == F.col("channel_index"))
-    mean = lambda c: F.round(F.sum(F.col("e") * F.col(c)) / F.greatest(F.sum("e"), F.lit(1e-12)), 6)
+    mean = lambda c: F.sum(F.col("e") * F.col(c)) / F.greatest(F.sum("e"), F.lit(1e-12))
     return met.groupBy("unit").agg(mean("x").alias("x"), mean("y").alias("y"))
 
 
@@ -49,7 +49,7 @@ def shared_contacts(pairs: DataFrame, templates: DataFrame, share: float = 0.7)
     sums = met.groupBy("left", "right").agg(F.sum(F.col("va") * F.col("vb")).alias("ab"), F.sum(F.col("va") ** 2).alias("aa"), F.sum(F.col("vb") ** 2).alias("bb"))
     of = lambda side, name: total.withColumnsRenamed({"unit": side, "total": name})
     full = sums.join(of("left", "ta"), "left").join(of("right", "tb"), "right")
-    return full.where((F.col("aa") >= share * F.col("ta")) & (F.col("bb") >= share * F.col("tb"))).select("left", "right", F.round(F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")), 6).alias("score"))
+    return full.where((F.col("aa") >= share * F.col("ta")) & (F.col("bb") >= share * F.col("tb"))).select("left", "right", (F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("score"))
 
 
 def best_two(scores: DataFrame, event: str = "event", unit: str = "unit", gain: str = "gain") -> DataFrame:
@@ -58,7 +58,7 @@ def best_two(scores: DataFrame, event: str = "event", unit: str = "unit", gain:
     top = scores.withColumn("_r", F.row_number().over(order)).where("_r <= 2")
     of = lambda r, c: F.max(F.when(F.col("_r") == r, F.col(c)))
     out = top.groupBy(event).agg(of(1, unit).alias("best"), of(1, gain).alias("gain"), of(2, unit).alias("runner"), of(2, gain).alias("runner_gain"))
-    return out.withColumn("margin", F.round(1 - F.coalesce(F.col("runner_gain"), F.lit(0.0)) / F.greatest(F.col("gain"), F.lit(1e-12)), 6))
+    return out.withColumn("margin", 1 - F.coalesce(F.col("runner_gain"), F.lit(0.0)) / F.greatest(F.col("gain"), F.lit(1e-12)))
 
 
 def best_per_identity(scores: DataFrame, identities: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def assigned(best: DataFrame, score: float = 0.88, margin: float = 0.03) -> Data
 
 
 def mean_waveform(templates: DataFrame, key: str) -> DataFrame:
-    each = templates.select(key, F.posexplode("w").alias("i", "v")).groupBy(key, "i").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.median("v"), 6).alias("median"))
+    each = templates.select(key, F.posexplode("w").alias("i", "v")).groupBy(key, "i").agg(F.avg("v").alias("mean"), F.median("v").alias("median"))
     return each
 
 
@@ -99,3 +99,9 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, blocks: int = 8) -> Dat
     met = q.join(b, "block").where(F.col("unit") != F.col("neighbour")).select("unit", "neighbour", "block", d.alias("d2"))
     first = met.withColumn("_r", F.row_number().over(Window.partitionBy("unit", "block").orderBy("d2", "neighbour"))).where(F.col("_r") <= k)
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("unit").orderBy("d2", "neighbour"))).where(F.col("rank") <= k).select("unit", "rank", "neighbour", "d2")
+
+
+def paired(events: DataFrame, bank: DataFrame, blocks: int = 8) -> DataFrame:
+    """Every event of a stated set with every template of a bank, block by block of the bank."""
+    b = bank.withColumn("_block", F.pmod(F.xxhash64("unit"), F.lit(blocks)).cast("int"))
+    return events.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(b, "_block").drop("_block")

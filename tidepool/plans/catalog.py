@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from ..functions import hashing as H
 from ..operators import adaptation as A
 from ..operators import consolidate as C
+from ..operators import evidence as D
 from ..operators import geometry as G
 from ..operators import learning as N
 from ..operators import ledger as L
@@ -45,27 +46,32 @@ def _snr(v: Views) -> DataFrame:
     return L.with_snr(led, L.robust_noise(led)).select("row_id", "sample_index", "channel_index", "amplitude_uv", "snr")
 
 
+def _shown(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """Numbers as both engines can agree on them: rounding belongs to queries, not to operators."""
+    return df.withColumns({c: F.round(c, digits) for c in columns or ("snr",)})
+
+
 # ---- ledger -------------------------------------------------------------------------------------
 
 
 @query(f"select {ROWS} from snr where snr > 1.5", "snr")
 def snr_threshold_query(v):
-    return L.query(_snr(v), 1.5)
+    return _shown(L.query(_snr(v), 1.5))
 
 
 @query(f"select {ROWS} from snr where snr > 1 and sample_index >= {FIRST + 86400} and sample_index < {FIRST + 5 * 86400}", "snr")
 def time_range_query(v):
-    return L.query(_snr(v), 1.0, time=(FIRST + 86400, FIRST + 5 * 86400))
+    return _shown(L.query(_snr(v), 1.0, time=(FIRST + 86400, FIRST + 5 * 86400)))
 
 
 @query(f"select {ROWS} from snr where snr > 1 and channel_index in (1, 5, 9)", "snr")
 def channel_filter_query(v):
-    return L.query(_snr(v), 1.0, channels=[1, 5, 9], known=set(range(32)))
+    return _shown(L.query(_snr(v), 1.0, channels=[1, 5, 9], known=set(range(32))))
 
 
 @query(f"select {ROWS} from snr where snr > 1 and amplitude_uv < 0", "snr")
 def polarity_query(v):
-    return L.query(_snr(v), 1.0, polarity="neg")
+    return _shown(L.query(_snr(v), 1.0, polarity="neg"))
 
 
 @query("select sample_index // 86400 as block_id, min(sample_index) as start_sample, max(sample_index) + 1 as stop_sample, min(row_id) as row_start, max(row_id) + 1 as row_stop from ledger group by 1", "ledger")
@@ -201,7 +207,7 @@ PAIRS = "select a.channel_index as channel, b.channel_index as neighbour, round(
 
 @query(PAIRS.format(r2=2500), "channels")
 def neighbor_table(v):
-    return G.neighbours(v.channels(), 50.0)
+    return _shown(G.neighbours(v.channels(), 50.0), "distance")
 
 
 @query("select channel, slot, contact from (select a.channel_index as channel, b.channel_index as contact, row_number() over (partition by a.channel_index order by (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.channel_index) - 1 as slot from channels a join channels b on a.shank = b.shank and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 3600) where slot < 6", "channels")
@@ -221,19 +227,19 @@ CENTRES = "(select unit, round(sum(e * x) / greatest(sum(e), 1e-12), 6) as x, ro
 
 @query(f"select * from {CENTRES}", "templates", "channels")
 def template_centroids(v):
-    return T.centroids(v.templates(), v.channels())
+    return _shown(T.centroids(v.templates(), v.channels()), "x", "y")
 
 
-@query(f"select a.unit as \"left\", b.unit as \"right\" from {CENTRES} a join {CENTRES} b on a.unit < 100 and b.unit % 10 = 3 and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 225", "templates", "channels")
+@query(f"select a.unit as \"left\", b.unit as \"right\" from {CENTRES} a join {CENTRES} b on (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 225", "templates", "channels")
 def spatial_pair_join(v):
-    c = T.centroids(v.templates(), v.channels()).select(F.col("unit").alias("id"), "x", "y", F.lit(0).alias("probe"))
-    return G.spatial_pairs(c.where("id < 100"), c.where("id % 10 = 3"), 15.0).select("left", "right")
+    c = _shown(T.centroids(v.templates(), v.channels()), "x", "y").select(F.col("unit").alias("id"), "x", "y", F.lit(0).alias("probe"))
+    return G.spatial_pairs(c, c, 15.0, 100_000).select("left", "right")  # the view's units lie close together
 
 
-@query("select l.row_id, t.unit from ledger l join (" + PAIRS.format(r2=400) + ") p on l.channel_index = p.channel join templates t on t.anchor = p.neighbour where l.row_id % 50 = 0 group by all", "ledger", "channels", "templates")
+@query("select l.row_id, t.unit from ledger l join (" + PAIRS.format(r2=400) + ") p on l.channel_index = p.channel join templates t on t.anchor = p.neighbour group by all", "ledger", "channels", "templates")
 def template_proposals(v):
     contacts = G.neighbours(v.channels(), 20.0).select("channel", F.col("neighbour").alias("contact"))
-    return G.template_candidates(v.ledger().where("row_id % 50 = 0"), contacts, v.templates(), 5000)
+    return G.template_candidates(v.ledger(), contacts, v.templates())
 
 
 # ---- templates ----------------------------------------------------------------------------------
@@ -245,14 +251,13 @@ def _dot(a: str, b: str) -> str:
     return DOT.format(a=a, b=b)
 
 
-SCORES = f"scores as (select e.unit as event, t.unit as unit, round({_dot('e.w', 't.w')} / sqrt(greatest({_dot('e.w', 'e.w')} * {_dot('t.w', 't.w')}, 1e-24)), 6) as gain from templates e join templates t on e.unit % 20 = 0 and t.unit % 25 = 7 and e.unit <> t.unit)"
+SCORES = f"scores as (select e.unit as event, t.unit as unit, round({_dot('e.w', 't.w')} / sqrt(greatest({_dot('e.w', 'e.w')} * {_dot('t.w', 't.w')}, 1e-24)), 6) as gain from templates e join templates t on e.unit % 20 = 0 and e.unit <> t.unit)"
 
 
 def _scores(v: Views) -> DataFrame:
     t = v.templates()
     events = t.where("unit % 20 = 0").select(F.col("unit").alias("event"), F.col("w").alias("_e"))
-    bank = F.broadcast(t.where("unit % 25 = 7").select("unit", F.col("w").alias("_t")))  # a stated bank of templates
-    return events.join(bank, F.col("event") != F.col("unit")).select("event", "unit", F.round(T.cosine(F.col("_e"), F.col("_t")), 6).alias("gain"))
+    return T.paired(events, t.select("unit", F.col("w").alias("_t"))).where("event <> unit").select("event", "unit", F.round(T.cosine(F.col("_e"), F.col("_t")), 6).alias("gain"))
 
 
 def with_scores(sql: str) -> str:
@@ -264,7 +269,7 @@ BEST = "best as (select event, max(unit) filter (r = 1) as best, max(gain) filte
 
 @query()
 def best_two_templates(v):
-    return T.best_two(_scores(v))
+    return _shown(T.best_two(_scores(v)), "margin")
 
 
 ORACLES["best_two_templates"] = with_scores("select * from margins").replace(SCORES, SCORES + ", " + BEST)
@@ -272,7 +277,7 @@ ORACLES["best_two_templates"] = with_scores("select * from margins").replace(SCO
 
 @query()
 def assigned_events(v):
-    return T.assigned(T.best_two(_scores(v)), 0.3, 0.03)
+    return T.assigned(_shown(T.best_two(_scores(v)), "margin"), 0.3, 0.03)
 
 
 ORACLES["assigned_events"] = with_scores("select event, case when ok then best else -1 end as unit, ok and gain >= 0.96 and margin >= 0.08 as teaches from (select *, gain >= 0.3 and margin >= 0.03 as ok from margins)").replace(SCORES, SCORES + ", " + BEST)
@@ -308,7 +313,7 @@ def pair_cosine_five_shift(v):
     t = v.templates()
     a, b = t.select(F.col("unit").alias("left"), "anchor", F.col("w").alias("_a")), t.select(F.col("unit").alias("right"), "anchor", F.col("w").alias("_b"))
     best = T.shifted_cosines(F.col("_a"), F.col("_b"))
-    return a.join(b, "anchor").where("left < right").withColumn("best", best).select("left", "right", "best.score", "best.shift")
+    return a.join(b, "anchor").where("left < right").withColumn("best", best).select("left", "right", F.round("best.score", 6).alias("score"), "best.shift")
 
 
 ENERGY = "e as (select unit, (anchor + (i - 1) % 4) % 32 as contact, (i - 1) // 4 as time, v from (select unit, anchor, unnest(w) as v, generate_subscripts(w, 1) as i from templates)), tot as (select unit, sum(v * v) as total from e group by 1)"
@@ -317,18 +322,17 @@ ENERGY = "e as (select unit, (anchor + (i - 1) % 4) % 32 as contact, (i - 1) //
 @query()
 def shared_contact_cosine(v):
     t = v.templates()
-    a = t.where("unit < 64").select(F.col("unit").alias("left"), F.col("anchor").alias("aa"))
-    b = t.where("unit < 64").select(F.col("unit").alias("right"), F.col("anchor").alias("ba"))
-    pairs = a.join(b, (F.col("left") < F.col("right")) & (F.pmod(F.col("aa") - F.col("ba") + 1, F.lit(32)) <= 2)).select("left", "right")
-    return T.shared_contacts(pairs, t, 0.7)
+    a, b = t.select(F.col("unit").alias("left"), F.explode(F.array(*[F.pmod(F.col("anchor") + d, F.lit(32)) for d in (-1, 0, 1)])).alias("at")), t.select(F.col("unit").alias("right"), F.col("anchor").alias("at"))
+    pairs = a.join(b, "at").where("left < right").select("left", "right")
+    return _shown(T.shared_contacts(pairs, t, 0.7), "score")
 
 
-ORACLES["shared_contact_cosine"] = with_views("select 1", "templates").removesuffix(" select 1") + ", " + ENERGY + " select \"left\", \"right\", round(ab / sqrt(aa * bb), 6) as score from (select a.unit as \"left\", b.unit as \"right\", sum(a.v * b.v) as ab, sum(a.v * a.v) as aa, sum(b.v * b.v) as bb from e a join e b on a.contact = b.contact and a.time = b.time and a.unit < b.unit and a.unit < 64 and b.unit < 64 join templates x on x.unit = a.unit join templates y on y.unit = b.unit where ((x.anchor - y.anchor + 1) % 32 + 32) % 32 <= 2 group by 1, 2) join tot p on p.unit = \"left\" join tot q on q.unit = \"right\" where aa >= 0.7 * p.total and bb >= 0.7 * q.total"
+ORACLES["shared_contact_cosine"] = with_views("select 1", "templates").removesuffix(" select 1") + ", " + ENERGY + " select \"left\", \"right\", round(ab / sqrt(aa * bb), 6) as score from (select a.unit as \"left\", b.unit as \"right\", sum(a.v * b.v) as ab, sum(a.v * a.v) as aa, sum(b.v * b.v) as bb from e a join e b on a.contact = b.contact and a.time = b.time and a.unit < b.unit join templates x on x.unit = a.unit join templates y on y.unit = b.unit where ((x.anchor - y.anchor + 1) % 32 + 32) % 32 <= 2 group by 1, 2) join tot p on p.unit = \"left\" join tot q on q.unit = \"right\" where aa >= 0.7 * p.total and bb >= 0.7 * q.total"
 
 
 @query("select label, (i - 1)::int as i, round(avg(v), 6) as mean, round(median(v), 6) as median from (select label, unnest(w) as v, generate_subscripts(w, 1) as i from templates) group by 1, 2", "templates")
 def mean_median_waveform(v):
-    return T.mean_waveform(v.templates(), "label")
+    return _shown(T.mean_waveform(v.templates(), "label"), "mean", "median")
 
 
 FITS = "(select row_id, (0.5 + row_id % 50 / 100.0)::double as score, (row_id % 37 / 10.0)::double as amplitude, (row_id % 23 / 100.0)::double as margin, row_id % 4 as pass, row_id % 11 = 0 as rescue from ledger)"
@@ -426,16 +430,9 @@ def calibration_windows(v):
     return S.calibration_windows(spans)
 
 
-@query("select 'x' as axis, count(distinct x) as positions, (max(x) - min(x))::bigint as span from channels union all select 'y', count(distinct y), (max(y) - min(y))::bigint from channels", "channels")
-def depth_axis(v):
-    c = v.channels()
-    one = lambda a: c.agg(F.countDistinct(a).alias("positions"), (F.max(a) - F.min(a)).cast("long").alias("span")).select(F.lit(a).alias("axis"), "positions", "span")
-    return one("x").unionByName(one("y"))
-
-
-@query("select round(quantile_cont(abs(amplitude_uv), 0.5), 6) as q50, round(quantile_cont(abs(amplitude_uv), 0.9), 6) as q90 from ledger where row_id % 3 = 0", "ledger")
+@query("select round(quantile_cont(abs(amplitude_uv), 0.5), 6) as q50, round(quantile_cont(abs(amplitude_uv), 0.9), 6) as q90 from ledger where row_id % greatest(1, (select count(*) // 100000 from ledger)) = 0", "ledger")
 def quantile_edges(v):
-    return v.ledger().where("row_id % 3 = 0").agg(F.round(F.percentile(F.abs("amplitude_uv"), 0.5), 6).alias("q50"), F.round(F.percentile(F.abs("amplitude_uv"), 0.9), 6).alias("q90"))
+    return _shown(S.quantile_edges(v.ledger().withColumn("size", F.abs("amplitude_uv")), "row_id", "size"), "q50", "q90")
 
 
 # ---- quality ------------------------------------------------------------------------------------
@@ -453,12 +450,12 @@ def collision_spikes(v):
 
 @query("select label, n, round(coalesce(avg((g < 3600)::int), 0), 6) as violations from (select label, t - lag(t) over (partition by label order by t) as g, count(*) over (partition by label) as n from truth) group by 1, 2", "truth")
 def isi_violations(v):
-    return Q.isi_violations(v.truth().select("t", "label"), 3600)
+    return _shown(Q.isi_violations(v.truth().select("t", "label"), 3600), "violations")
 
 
-@query("select p.row_id, p.t from truth p where exists (select 1 from (select sample_index as a, sample_index + 600 as b from ledger where event_type = 'error' and row_id % 10 = 0) s where p.t >= s.a and p.t < s.b)", "truth")
+@query("select p.row_id, p.t from truth p where exists (select 1 from (select sample_index as a, sample_index + 600 as b from ledger where event_type = 'error') s where p.t >= s.a and p.t < s.b)", "truth")
 def spans_semi_join(v):
-    spans = v.ledger().where("event_type = 'error' and row_id % 10 = 0").select(F.col("sample_index").alias("start"), (F.col("sample_index") + 600).alias("stop"))
+    spans = v.ledger().where("event_type = 'error'").select(F.col("sample_index").alias("start"), (F.col("sample_index") + 600).alias("stop"))
     return Q.inside_spans(v.truth().select("row_id", "t"), spans, 600)
 
 
@@ -487,7 +484,7 @@ def one_to_one_match(v):
 
 @query()
 def unit_assignment(v):
-    return Q.unit_assignment(v.truth().select("t", "label"), v.predicted().select("t", "label"), 2)
+    return _shown(Q.unit_assignment(v.truth().select("t", "label"), v.predicted().select("t", "label"), 2), "iou")
 
 
 @query("select a as unit, recovered, f1 from (select label as a, count(*)::bigint as recovered, round(avg((event_type = 'click')::int), 6) as f1 from (select user_id as label, event_type from ledger) group by 1) where f1 >= (select max(f1) from (select round(avg((event_type = 'click')::int), 6) as f1 from ledger group by user_id)) - 0.2 order by recovered desc, f1 desc, a limit 2", "ledger")
@@ -521,10 +518,10 @@ def shard_intervals(v):
     return E.shard_intervals(v.sources().select("file_id", F.col("start_sample").alias("start"), (F.col("start_sample") + F.col("samples")).alias("stop")), 7000)
 
 
-@query("select b.bound, (select arg_max(row_id, sample_index) from ledger l where l.row_id % 100 = 0 and l.sample_index <= b.bound) as model from (select start_sample as bound from sources) b", "ledger", "sources")
+@query("select b.bound, (select arg_max(row_id, struct_pack(s := sample_index, r := row_id)) from ledger l where l.sample_index <= b.bound) as model from (select start_sample as bound from sources) b", "ledger", "sources")
 def latest_model(v):
-    models = v.ledger().where("row_id % 100 = 0").select(F.col("sample_index").alias("stop"), F.col("row_id").alias("model"))
-    return E.latest_before(models, v.sources().select(F.col("start_sample").alias("bound")))
+    models = v.ledger().select(F.col("sample_index").alias("stop"), F.col("row_id").alias("model"))
+    return D.latest_models(models, v.sources().select(F.col("start_sample").alias("bound")), 86400)
 
 
 @query("select user_id as unit, count(*) as n, (case when count(*) >= 20 and avg((abs(row_id % 6 - 3) >= 2)::int) >= 0.05 then 3 else 2 end)::bigint as radius from ledger group by 1", "ledger")
@@ -540,7 +537,7 @@ def epoch_batches(v):
 @query("select label, bin, n, round(1e-9 + sum(w * mean) over (partition by label order by bin range between 5 preceding and current row) / sum(w) over (partition by label order by bin range between 5 preceding and current row), 4) as rolling from (select label, t // 43200 as bin, count(*) as n, sum(v::decimal(38,6))::double / count(*) as mean, least(count(*), 100)::double as w from (select user_id as label, sample_index as t, abs(amplitude_uv) as v from ledger) group by 1, 2)", "ledger")
 def rolling_template_bins(v):
     events = v.ledger().select(F.col("user_id").alias("label"), F.col("sample_index").alias("t"), F.abs("amplitude_uv").alias("v"))
-    return C.rolling_bins(events, 43200, 6)
+    return C.rolling_bins(events, 43200, 6).withColumn("rolling", F.round(F.col("rolling") + 1e-9, 4))
 
 
 def consolidation_patches(v: Views, radius: float = 45.0) -> dict[int, set[int]]:
@@ -552,15 +549,7 @@ def consolidation_patches(v: Views, radius: float = 45.0) -> dict[int, set[int]]
 
 @query()
 def consolidate_events(v):
-    return C.consolidate(_snr(v), consolidation_patches(v), 60)
-
-
-@query("select a.label, a.unit as \"left\", b.unit as \"right\" from (select label, unit, row_number() over (partition by label order by unit desc) r from templates where unit % 2 = 0) a join (select label, unit, row_number() over (partition by label order by unit) r from templates where unit % 2 = 1) b on a.label = b.label and a.r = 1 and b.r = 1", "templates")
-def cross_day_links(v):
-    t = v.templates()
-    last = t.where("unit % 2 = 0").groupBy("label").agg(F.max("unit").alias("left"))
-    first = t.where("unit % 2 = 1").groupBy("label").agg(F.min("unit").alias("right"))
-    return last.join(first, "label").select("label", "left", "right")
+    return _shown(C.consolidate(_snr(v), consolidation_patches(v), 60))
 
 
 # ---- learning -----------------------------------------------------------------------------------
@@ -576,7 +565,7 @@ def _duplicates_sql(sql: str) -> str:
 
 @query()
 def duplicate_template_pairs(v):
-    return N.duplicate_pairs(v.templates(), v.channels(), DUPLICATE)
+    return _shown(N.duplicate_pairs(v.templates(), v.channels(), DUPLICATE), "score")
 
 
 ORACLES["duplicate_template_pairs"] = _duplicates_sql(" select * from dup")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.consolidate import rolling_bins
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -18,7 +17,7 @@ def split_late(batch: DataFrame, through: int) -> tuple[DataFrame, DataFrame]:
     return batch.where(F.col("t") >= through), batch.where(F.col("t") < through)
 
 
-def rolling_templates(stream: DataFrame, folder: str, bin_samples: int, window: int) -> StreamingQuery:
+def rolling_templates(stream: DataFrame, folder: str, bin_samples: int) -> StreamingQuery:
     """Bins of (label, bin, n, total) by micro-batch below ``folder``/bins, late rows below ``folder``/late.
 
     A batch is written under its own id, so one that is run again replaces
@@ -31,7 +30,8 @@ def rolling_templates(stream: DataFrame, folder: str, bin_samples: int, window:
         through = -1
         if number:
             before = spark.read.parquet(f"{folder}/through").where(F.col("batch") < number)
-            through = before.agg(F.max("through")).first()[0] or -1
+            last = before.agg(F.max("through")).first()[0]
+            through = -1 if last is None else last
         good, late = split_late(batch, through)
         sums = good.groupBy("label", F.floor(F.col("t") / bin_samples).alias("bin")).agg(F.count("*").alias("n"), F.sum(F.col("v").cast("decimal(38,6)")).alias("total"))
         sums.write.mode("overwrite").parquet(f"{folder}/bins/batch={number}")
@@ -48,8 +48,5 @@ def snapshot(spark: SparkSession, folder: str, window: int, most: float = 100.0)
     bins = spark.read.parquet(f"{folder}/bins").groupBy("label", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     w = bins.withColumn("w", F.least(F.col("n").cast("double"), F.lit(most))).withColumn("mean", F.col("total").cast("double") / F.col("n"))
     span = Window.partitionBy("label").orderBy("bin").rangeBetween(-(window - 1), 0)
-    return w.select("label", "bin", "n", F.round(F.sum(F.col("w") * F.col("mean")).over(span) / F.sum("w").over(span) + 1e-9, 4).alias("rolling"))
+    return w.select("label", "bin", "n", (F.sum(F.col("w") * F.col("mean")).over(span) / F.sum("w").over(span)).alias("rolling"))
 
-
-def batch_rolling(events: DataFrame, bin_samples: int, window: int) -> DataFrame:
-    return rolling_bins(events, bin_samples, window)
