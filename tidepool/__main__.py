@@ -13,14 +13,14 @@ def session(name: str):
 
 
 def queries(_) -> None:
-    from .plans import catalog
+    from .plans import catalog, recordings  # noqa: F401
 
     for name in sorted(catalog.QUERIES):
         print(name, "" if name in catalog.ORACLES else "(no SQL twin)")
 
 
 def run(args) -> None:
-    from .plans import catalog
+    from .plans import catalog, recordings  # noqa: F401
 
     result = catalog.QUERIES[args.query](session(args.query), args.tables)
     if args.out:

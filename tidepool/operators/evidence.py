@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,9 +209,6 @@ def energy_masked(templates: DataFrame, fraction: float) -> DataFrame:
 
 def low_rank(templates: DataFrame, rank: int) -> DataFrame:
     """(unit, w): each template by its ``rank`` strongest separable parts."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def cut(w: pd.Series) -> pd.Series:
         if not len(w):
@@ -241,8 +240,6 @@ def refractory_kept(proposals: DataFrame, distance: int) -> DataFrame:
     Runs of a unit's times with gaps of at most ``distance`` don't touch each
     other, so each run is a group of its own, not each unit.
     """
-    import pandas as pd
-
     order = Window.partitionBy("unit").orderBy("t", "id")
     run = F.sum(F.when(F.col("t") - F.lag("t").over(order) <= distance, 0).otherwise(1)).over(order)
     rows = proposals.withColumn("_run", run)
