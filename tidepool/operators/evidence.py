@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .geometry import guarded, within
-from .templates import SLOTS, dot, energy
+from .templates import SLOTS, shifted_match
 
 
 def contact_cosines(pairs: DataFrame, share: float = 0.7, shifts: int = 2, times: int = 16, whole: bool = False) -> DataFrame:
@@ -17,24 +17,8 @@ def contact_cosines(pairs: DataFrame, share: float = 0.7, shifts: int = 2, times
     pairs: (..., lw, lc, rw, rc) with flat waveforms and contact lists (-1: none).
     ``whole``: energies of all contacts go into the denominator.
     """
-    slots = lambda c: F.filter(F.transform(c, lambda x, i: F.struct(x.alias("c"), i.alias("i"))), lambda s: s["c"] >= 0)
-    met = pairs.withColumn("_common", F.array_sort(F.array_intersect(F.transform(slots(F.col("lc")), lambda s: s["c"]), F.transform(slots(F.col("rc")), lambda s: s["c"]))))
-    line = lambda w, c: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda t: F.transform("_common", lambda x: F.element_at(w, (t * F.size(c) + F.array_position(c, x)).cast("int")))))
-    some = F.size("_common") > 0
-    met = met.withColumn("_a", F.when(some, line(F.col("lw"), F.col("lc")))).withColumn("_b", F.when(some, line(F.col("rw"), F.col("rc"))))
-    met = met.withColumn("_ea", energy(F.col("_a"))).withColumn("_eb", energy(F.col("_b"))).withColumn("_ta", energy(F.col("lw"))).withColumn("_tb", energy(F.col("rw")))
-    n = F.size("_common")
-
-    def at(s: int):
-        keep = ((times - abs(s)) * n).cast("int")
-        a = F.slice("_a", (max(-s, 0) * n + 1).cast("int"), keep)
-        b = F.slice("_b", (max(s, 0) * n + 1).cast("int"), keep)
-        base = F.sqrt(F.col("_ta") * F.col("_tb")) if whole else F.sqrt(energy(a) * energy(b))
-        return F.when(base > 0, dot(a, b) / base)
-
-    enough = some & (F.col("_ta") > 0) & (F.col("_tb") > 0) & (F.col("_ea") >= share * F.col("_ta")) & (F.col("_eb") >= share * F.col("_tb"))
-    best = F.greatest(F.lit(-1.0), *[at(s) for s in range(-shifts, shifts + 1)])
-    return met.withColumn("score", F.when(enough, best).otherwise(-1.0)).drop("_common", "_a", "_b", "_ea", "_eb", "_ta", "_tb")
+    met = shifted_match(F.col("lw"), F.col("lc"), F.col("rw"), F.col("rc"), times, shifts, share, 0.0, whole)
+    return pairs.withColumn("score", met["score"])
 
 
 def cross_day_links(models: DataFrame, channels: DataFrame, radius: float = 200.0, most: int = 256) -> DataFrame:

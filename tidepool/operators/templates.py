@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,63 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def shifted_cosines(a: Column, b: Column, shifts: int = 2, times: int = 16) -> Column:
-    """The best (cosine, -|shift| first) over shifts in time, on the times that all shifts share."""
-    n = (times - 2 * shifts) * SLOTS
-    core = F.slice(a, shifts * SLOTS + 1, n)
-    each = [F.struct(cosine(core, F.slice(b, (shifts + s) * SLOTS + 1, n)).alias("score"), F.lit(-s).alias("neg"), F.lit(s).alias("shift")) for s in range(-shifts, shifts + 1)]
-    return F.array_max(F.array(*each))
+    """(score, neg, shift), the best cosine over shifts in time, the lowest shift on a tie, on the times that all shifts share. Batches of pairs at a time."""
+
+    @F.pandas_udf("score double, neg int, shift int")
+    def best(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        if not len(x):
+            return pd.DataFrame({"score": [], "neg": [], "shift": []}).astype({"neg": int, "shift": int})
+        p, q = (np.stack(v.to_list()).reshape(len(v), times, SLOTS) for v in (x, y))
+        core = p[:, shifts : times - shifts].reshape(len(x), -1)
+        moved = [q[:, shifts + s : times - shifts + s].reshape(len(x), -1) for s in range(-shifts, shifts + 1)]
+        size = lambda w: np.einsum("ij,ij->i", w, w)
+        score = np.stack([np.einsum("ij,ij->i", core, m) / np.sqrt(np.maximum(size(core) * size(m), 1e-24)) for m in moved])
+        at = score.argmax(axis=0) - shifts
+        return pd.DataFrame({"score": score.max(axis=0), "neg": -at, "shift": at})
+
+    return best(a, b)
+
+
+def contact_matches(lw: np.ndarray, lc: np.ndarray, rw: np.ndarray, rc: np.ndarray, shifts: int, share: float, valid: float, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, amplitude and shift of many pairs of waveforms on the contacts they share; -1 where these hold too little of either's energy.
+
+    lw, rw: (pairs, times, slots), not a number where nothing was recorded;
+    lc, rc: contacts of the slots, -1 for none. The first of equally good shifts wins.
+    """
+    n, times = lw.shape[:2]
+    same = (lc[:, :, None] == rc[:, None, :]) & (lc >= 0)[:, :, None]
+    shared, slot = same.any(axis=2), same.argmax(axis=2)
+    right = np.take_along_axis(rw, slot[:, None, :], axis=2)
+    power = lambda w, on: np.where(on[:, None, :], np.nan_to_num(w) ** 2, 0).sum(axis=(1, 2))
+    ta, tb = power(lw, lc >= 0), power(rw, rc >= 0)
+    enough = shared.any(axis=1) & (ta > 0) & (tb > 0) & (power(lw, shared) >= share * ta) & (power(right, shared) >= share * tb)
+    score, amplitude, shift = np.full(n, -1.0), np.full(n, np.nan), np.zeros(n, int)
+    for s in range(-shifts, shifts + 1):
+        x, y = lw[:, max(-s, 0) : times - max(s, 0)], right[:, max(s, 0) : times + min(s, 0)]
+        ok = np.isfinite(y) & shared[:, None, :]
+        x, y = np.where(ok, x, 0.0), np.where(ok, y, 0.0)
+        ab, aa, bb = (x * y).sum(axis=(1, 2)), (x * x).sum(axis=(1, 2)), (y * y).sum(axis=(1, 2))
+        under = ta * tb if whole else aa * bb
+        good = enough & (under > 0) & (ok.sum(axis=(1, 2)) >= valid * shared.sum(axis=1) * x.shape[1])
+        now = np.where(good, ab / np.sqrt(np.where(under > 0, under, 1.0)), -1.0)
+        better = now > score
+        score, shift = np.where(better, now, score), np.where(better, s, shift)
+        amplitude = np.where(better, ab / np.where(aa > 0, aa, 1.0), amplitude)
+    return score, amplitude, shift
+
+
+def shifted_match(lw: Column, lc: Column, rw: Column, rc: Column, times: int = 16, shifts: int = 2, share: float = 0.7, valid: float = 0.9, whole: bool = False) -> Column:
+    """(score, amplitude, shift) of waveforms rw (nulls where nothing was recorded) under templates lw on shared contacts, by ``contact_matches``."""
+
+    @F.pandas_udf("score double, amplitude double, shift int")
+    def match(a: pd.Series, ac: pd.Series, b: pd.Series, bc: pd.Series) -> pd.DataFrame:
+        if not len(a):
+            return pd.DataFrame({"score": [], "amplitude": [], "shift": []}).astype({"shift": int})
+        wave = lambda v: np.stack([np.asarray(x, float) for x in v]).reshape(len(v), times, -1)
+        score, amplitude, shift = contact_matches(wave(a), np.stack(ac.to_list()), wave(b), np.stack(bc.to_list()), shifts, share, valid, whole)
+        return pd.DataFrame({"score": score, "amplitude": pd.Series(amplitude).replace(np.nan, None), "shift": shift})
+
+    return match(lw, lc, rw, rc)
 
 
 def exploded(templates: DataFrame) -> DataFrame:
@@ -91,17 +145,50 @@ def acceptance(fits: DataFrame) -> DataFrame:
     return fits.withColumn("reason", why)
 
 
+def _blocked(queries: DataFrame, base: DataFrame, blocks: int, run, schema: str) -> DataFrame:
+    """Every query with every template, one block of the base at a time, by ``run`` on both sides' numbers and arrays. The queries are a stated set."""
+    b = base.select(F.col("unit").alias("bu"), F.transform("w", lambda x: x).alias("bw"), F.pmod(F.xxhash64("unit"), F.lit(blocks)).cast("int").alias("block"))
+    q = queries.select(F.col("unit").alias("qu"), F.transform("w", lambda x: x).alias("qw"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        return run(x["qu"].to_numpy(), np.stack(x["qw"].to_list()), y["bu"].to_numpy(), np.stack(y["bw"].to_list()))
+
+    return q.groupBy("block").cogroup(b.groupBy("block")).applyInPandas(both, schema)
+
+
 def nearest(queries: DataFrame, base: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """Exact k nearest by distance: each block of the base gives its k, then the k of those. The queries are a stated set."""
-    b = base.select(F.col("unit").alias("neighbour"), F.col("w").alias("_b"), F.pmod(F.xxhash64("unit"), F.lit(blocks)).alias("block"))
-    q = queries.select("unit", F.col("w").alias("_q")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    d = F.round(F.aggregate(F.zip_with("_q", "_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x), 6)
-    met = q.join(b, "block").where(F.col("unit") != F.col("neighbour")).select("unit", "neighbour", "block", d.alias("d2"))
-    first = met.withColumn("_r", F.row_number().over(Window.partitionBy("unit", "block").orderBy("d2", "neighbour"))).where(F.col("_r") <= k)
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("unit").orderBy("d2", "neighbour"))).where(F.col("rank") <= k).select("unit", "rank", "neighbour", "d2")
-
-
-def paired(events: DataFrame, bank: DataFrame, blocks: int = 8) -> DataFrame:
-    """Every event of a stated set with every template of a bank, block by block of the bank."""
-    b = bank.withColumn("_block", F.pmod(F.xxhash64("unit"), F.lit(blocks)).cast("int"))
-    return events.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(b, "_block").drop("_block")
+    """(unit, rank, neighbour, d2), the exact k nearest by distance, then number.
+
+    A block's distances come from one matrix product; all that may be among its k,
+    as far as the product's error goes, are measured again by their differences.
+    """
+
+    def run(qu: np.ndarray, q: np.ndarray, bu: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        size = (q * q).sum(axis=1)[:, None] + (b * b).sum(axis=1)
+        rough = size - 2 * q @ b.T
+        rough[qu[:, None] == bu] = np.inf
+        slack = 1e-9 * size.max()
+        edge = np.partition(rough, min(k, len(bu)) - 1, axis=1)[:, min(k, len(bu)) - 1]
+        i, j = np.nonzero((rough <= edge[:, None] + slack) & np.isfinite(rough))
+        d2 = ((q[i] - b[j]) ** 2).sum(axis=1)
+        order = np.lexsort((bu[j], d2, i))
+        i, j, d2 = i[order], j[order], d2[order]
+        first = np.searchsorted(i, np.arange(len(qu)))
+        keep = np.arange(len(i)) - first[i] < k
+        return pd.DataFrame({"unit": qu[i[keep]], "neighbour": bu[j[keep]], "d2": d2[keep]})
+
+    found = _blocked(queries, base, blocks, run, "unit long, neighbour long, d2 double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("unit").orderBy("d2", "neighbour"))).where(F.col("rank") <= k).select("unit", "rank", "neighbour", "d2")
+
+
+def all_cosines(events: DataFrame, bank: DataFrame, blocks: int = 8) -> DataFrame:
+    """(event, unit, gain) of every event of a stated set and every template but itself, by matrix products."""
+
+    def run(eu: np.ndarray, e: np.ndarray, bu: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        gain = e @ b.T / np.sqrt(np.maximum((e * e).sum(axis=1)[:, None] * (b * b).sum(axis=1), 1e-24))
+        i, j = np.nonzero(eu[:, None] != bu)
+        return pd.DataFrame({"event": eu[i], "unit": bu[j], "gain": gain[i, j]})
+
+    return _blocked(events, bank, blocks, run, "event long, unit long, gain double")

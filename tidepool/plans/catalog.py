@@ -256,8 +256,7 @@ SCORES = f"scores as (select e.unit as event, t.unit as unit, round({_dot('e.w',
 
 def _scores(v: Views) -> DataFrame:
     t = v.templates()
-    events = t.where("unit % 20 = 0").select(F.col("unit").alias("event"), F.col("w").alias("_e"))
-    return T.paired(events, t.select("unit", F.col("w").alias("_t"))).where("event <> unit").select("event", "unit", F.round(T.cosine(F.col("_e"), F.col("_t")), 6).alias("gain"))
+    return _shown(T.all_cosines(t.where("unit % 20 = 0"), t), "gain")
 
 
 def with_scores(sql: str) -> str:
@@ -348,7 +347,7 @@ def fit_rejections(v):
 @query("select unit, rank, neighbour, d2 from (select a.unit, b.unit as neighbour, round(list_sum(list_transform(list_zip(a.w, b.w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) as d2, row_number() over (partition by a.unit order by round(list_sum(list_transform(list_zip(a.w, b.w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6), b.unit) as rank from templates a join templates b on a.unit % 20 = 0 and a.unit <> b.unit) where rank <= 10", "templates")
 def nearest_neighbours(v):
     t = v.templates()
-    return T.nearest(t.where("unit % 20 = 0"), t, 10).withColumn("rank", F.col("rank").cast("long"))
+    return _shown(T.nearest(t.where("unit % 20 = 0"), t, 10), "d2").withColumn("rank", F.col("rank").cast("long"))
 
 
 # ---- sampling -----------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.evidence import epoch_isolated
-from ..operators.templates import SLOTS
+from ..operators.templates import shifted_match
 from ..sources import files
 
 STATE = "unit long, anchor long, contacts array<long>, w array<double>, last array<double>, assigned long, bins array<struct<bin:long,total:array<double>,n:long>>"
@@ -28,7 +28,6 @@ def epochs(events: DataFrame, bin_samples: int, most: int) -> DataFrame:
     """
     t_bin = F.floor(F.col("t") / bin_samples)
     per = events.groupBy(t_bin.alias("_bin"), "t").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy("_bin").orderBy("t")
     # greedy pieces: the running count since the last cut, carried through the bin's samples in order
     lists = per.groupBy("_bin").agg(F.sort_array(F.collect_list(F.struct("t", "_n"))).alias("_s"))
     zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("piece"), F.array().cast("array<struct<t:bigint,piece:bigint>>").alias("out"))
@@ -40,35 +39,9 @@ def epochs(events: DataFrame, bin_samples: int, most: int) -> DataFrame:
 
     crowded = F.when(F.exists("_s", lambda x: x["_n"] > most), F.raise_error(F.lit("too many events at one sample")).cast("boolean")).otherwise(F.lit(True))
     cut = lists.where(crowded).select("_bin", F.explode(F.aggregate("_s", zero, step)["out"]).alias("x")).select("_bin", F.col("x.t").alias("t"), F.col("x.piece").alias("_piece"))
-    del order
     return events.withColumn("_bin", t_bin).join(cut, ["_bin", "t"]).withColumn("epoch", F.struct(F.col("_bin").alias("bin"), F.col("_piece").alias("piece"))).drop("_bin", "_piece")
 
 
-def shifted_match(lw: Column, lc: Column, rw: Column, rc: Column, times: int = 16, shifts: int = 2, share: float = 0.7, valid: float = 0.9) -> Column:
-    """(score, amplitude, shift) of an event's waveform (rw, nulls where nothing was recorded) under a template on their shared contacts.
-
-    Both must have ``share`` of their energy there, and ``valid`` of the samples
-    must be recorded; the first of equally good shifts wins; else the score is -1.
-    """
-    shared = F.array_sort(F.array_intersect(F.filter(lc, lambda c: c >= 0), F.filter(rc, lambda c: c >= 0)))
-    held = lambda w, c: F.aggregate(F.transform(w, lambda x, i: F.when(F.get(c, i % SLOTS) >= 0, F.coalesce(x * x, F.lit(0.0))).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    on = lambda w, c: F.aggregate(F.transform(w, lambda x, i: F.when(F.array_contains(shared, F.get(c, i % SLOTS)), F.coalesce(x * x, F.lit(0.0))).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    value = lambda w, c, t, x: F.element_at(w, (t * SLOTS + F.array_position(c, x)).cast("int"))
-    no = F.struct(F.lit(-1.0).alias("score"), F.lit(0).alias("order"), F.lit(None).cast("double").alias("amplitude"), F.lit(0).alias("shift"))
-
-    def at(s: int, i: int) -> Column:
-        span = F.sequence(F.lit(max(-s, 0)), F.lit(times - 1 - max(s, 0)))
-        pairs = F.flatten(F.transform(span, lambda t: F.transform(shared, lambda x: F.struct(value(lw, lc, t, x).alias("a"), value(rw, rc, t + s, x).alias("b")))))
-        real = F.filter(pairs, lambda p: p["b"].isNotNull())
-        sums = F.aggregate(real, F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb")), lambda a, p: F.struct((a["ab"] + p["a"] * p["b"]).alias("ab"), (a["aa"] + p["a"] * p["a"]).alias("aa"), (a["bb"] + p["b"] * p["b"]).alias("bb")))
-        good = (F.size(real) >= valid * F.size(pairs)) & (sums["aa"] * sums["bb"] > 0)
-        return F.when(good, F.struct((sums["ab"] / F.sqrt(sums["aa"] * sums["bb"])).alias("score"), F.lit(-i).alias("order"), (sums["ab"] / sums["aa"]).alias("amplitude"), F.lit(s).alias("shift"))).otherwise(no)
-
-    enough = (F.size(shared) > 0) & (held(lw, lc) > 0) & (held(rw, rc) > 0) & (on(lw, lc) >= share * held(lw, lc)) & (on(rw, rc) >= share * held(rw, rc))
-    best = F.array_max(F.array(no, *[at(s, i + 1) for i, s in enumerate(range(-shifts, shifts + 1))]))
-    return F.when(enough, best).otherwise(no)
-
-
 def assigned(events: DataFrame, state: DataFrame, score: float = 0.88, margin: float = 0.03, most: int = 512) -> DataFrame:
     """events (row_id, t, channel, contacts, w) with (unit, score, runner, margin, amplitude, shift, teaches); unit is -1 where score or margin don't suffice."""
     near = events.select("row_id", F.explode("contacts").alias("anchor")).where("anchor >= 0")
