@@ -109,3 +109,22 @@ def test_rolling_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     a, b = rolling.snapshot(spark, str(tmp_path / "out"), 6).collect(), consolidate.rolling_bins(events, 43200, 6).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_int16_session_with_a_gap(spark, tmp_path):
+    a, b = (np.random.default_rng(i).integers(-99, 99, (n, 2)).astype("<i2") for i, n in ((1, 4000), (2, 2000)))
+    a.tofile(tmp_path / "a.dat")
+    b.tofile(tmp_path / "b.dat")
+    probe = {"probe_id": "p", "sample_rate_hz": 1000, "gain_uv_per_count": 0.5, "geometry": {"x_um": [0, 1], "y_um": [0, 1], "shank": [0, 0]}, "segments": [{"path": "a.dat", "start_sample": 0, "n_samples": 4000, "day_id": "d1"}, {"path": "b.dat", "start_sample": 5000, "n_samples": 2000, "day_id": "d2"}], "gaps": [{"start_sample": 4000, "stop_sample": 5000, "reason": "x"}]}
+    (tmp_path / "s.json").write_text(json.dumps({"schema_version": 1, "session_id": "s", "probes": [probe]}))
+    spark.dataSource.register(int16.Int16Source)
+    for grouped in (1, 5):
+        df = spark.read.format("int16").options(manifest=str(tmp_path / "s.json"), probe="p", core=2000, halo=100, grouped=grouped).load()
+        spans = {(r.core, r.a, r.b, r.day) for r in df.groupBy("core", "day").agg({"t": "min"}).withColumnRenamed("min(t)", "a").join(df.groupBy("core").agg({"t": "max"}).withColumnRenamed("max(t)", "b"), "core").collect()}
+        assert spans == {(0, 0, 2099, "d1"), (2000, 1900, 3999, "d1"), (5000, 5000, 6999, "d2")}
+        owned = sorted(df.where("owned").select("t", "uv").collect())
+        assert [r.t for r in owned] == [*range(4000), *range(5000, 7000)]
+        assert np.allclose([r.uv for r in owned], np.concatenate([a, b]) * 0.5)
+    assert [(c.start, c.stop) for c in int16.plan([("x", 0, 4000, None), ("y", 5000, 7000, None)], 2000, 10, 1000, 6000)] == [(1000, 3000), (3000, 4000), (5000, 6000)]
+    with pytest.raises(OSError):
+        int16.read_frames(str(tmp_path / "b.dat"), 2, 1990, 20)

@@ -52,10 +52,25 @@ def test_export(spark, tmp_path):
     got = np.concatenate([np.fromfile(f"{out}/{x}", "<i2").reshape(-1, 3) for x in names])
     taps = kaiser_taps(10000, 2500, 900.0)
     half = len(taps) // 2
-    padded = np.pad(data.astype(float), ((half, half), (0, 0)), mode="edge")
+    padded = np.pad(data.astype(float), ((half, half), (0, 0)), mode="constant")
     want = np.stack([np.convolve(padded[:, c], taps[::-1], "valid")[::4] for c in range(3)], axis=1)
     assert np.array_equal(got, np.rint(want).clip(-32768, 32767)) and done["outputs"] == 1251 and done["parts"] == len(names) == 5
     with pytest.raises(FileExistsError):
         lfp.export_lfp(spark, source, out, 3, 10000, 2500, 900.0, part=300)
     os.remove(f"{out}/{names[2][:-4]}.json")
     assert lfp.export_lfp(spark, source, out, 3, 10000, 2500, 900.0, part=300, resume=True) == done
+
+
+def test_rational_export(spark, tmp_path):
+    data = np.random.default_rng(3).integers(-9000, 9000, (2000, 2)).astype("<i2")
+    source, out = str(tmp_path / "a.dat"), str(tmp_path / "out")
+    data.tofile(source)
+    done = lfp.export_lfp(spark, source, out, 2, 32000, 1250, 450.0, part=16)
+    names = sorted(x for x in os.listdir(out) if x.endswith(".i16"))
+    got = np.concatenate([np.fromfile(f"{out}/{x}", "<i2").reshape(-1, 2) for x in names])
+    taps = kaiser_taps(32000 * 5, 1250, 450.0)
+    whole = np.zeros((2000 * 5, 2))
+    whole[::5] = data
+    half = len(taps) // 2
+    want = np.stack([5 * np.convolve(np.pad(whole[:, c], half), taps[::-1], "valid")[::128] for c in range(2)], axis=1)
+    assert done["outputs"] == 79 == len(got) and np.abs(got - want).max() <= 0.5 + 1e-6

@@ -75,7 +75,7 @@ def decimate(grid: DataFrame, taps: list[int], factor: int) -> DataFrame:
 def kaiser_taps(rate: float, out_rate: float, passband: float, attenuation: float = 60.0) -> np.ndarray:
     """Anti-alias low pass: a windowed sinc between passband and the output's Nyquist rate."""
     width = (out_rate / 2 - passband) / (rate / 2)
-    n = int(np.ceil((attenuation - 7.95) / (2.285 * np.pi * width))) | 1
+    n = int(np.ceil((attenuation - 7.95) / (2.285 * np.pi * width) + 1)) | 1
     if not 0 < width or n > 100_001:
         raise ValueError("the transition band is too narrow")
     beta = 0.1102 * (attenuation - 8.7)

@@ -5,24 +5,29 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 
 from ..operators.signal import kaiser_taps
+from .int16 import read_frames
 
 
-def filtered(path: str, channels: int, samples: int, first: int, n: int, factor: int, taps: np.ndarray) -> np.ndarray:
-    """Outputs first .. first + n: output k is the filter centred on frame k * factor; end frames repeat beyond the file."""
+def filtered(path: str, channels: int, samples: int, first: int, n: int, up: int, down: int, taps: np.ndarray) -> np.ndarray:
+    """Outputs first .. first + n of the rational resampling by up / down: output k is centred on input time k * down / up; beyond the file is silence."""
     half = len(taps) // 2
-    low, high = first * factor - half, (first + n - 1) * factor + half + 1
+    low, high = -((half - first * down) // up), ((first + n - 1) * down + half) // up + 1
     a, b = max(low, 0), min(high, samples)
-    frames = np.fromfile(path, "<i2", (b - a) * channels, offset=a * channels * 2).reshape(-1, channels)
-    if len(frames) != b - a:
-        raise OSError("short read")
-    frames = np.pad(frames.astype(float), ((a - low, high - b), (0, 0)), mode="edge")
-    return np.stack([taps @ frames[i * factor : i * factor + len(taps)] for i in range(n)])
+    frames = read_frames(path, channels, a, b - a).astype(float)
+    out = np.empty((n, channels))
+    for i in range(n):
+        at = (first + i) * down  # on the clock that is ``up`` times the input's
+        x0, x1 = max(-((half - at) // up), a), min((at + half) // up + 1, b)
+        weights = taps[half + at - np.arange(x0, x1) * up]
+        out[i] = up * weights @ frames[x0 - a : x1 - a]
+    return out
 
 
 def export_lfp(spark: SparkSession, path: str, out: str, channels: int, rate: int, out_rate: int = 1250, passband: float = 500.0, part: int = 8192, resume: bool = False) -> dict:
@@ -31,8 +36,10 @@ def export_lfp(spark: SparkSession, path: str, out: str, channels: int, rate: in
     ``out`` is a shared folder. A part is complete once its own .json is there;
     with ``resume`` complete parts stay. Values beyond int16 are clipped and counted.
     """
-    if rate % out_rate:
-        raise ValueError("the output rate must divide the rate")
+    if not 0 < out_rate < rate:
+        raise ValueError("the output rate must be below the rate")
+    ratio = Fraction(out_rate, rate)
+    up, down = ratio.numerator, ratio.denominator
     size, frame = os.path.getsize(path), 2 * channels
     if size % frame or not size:
         raise ValueError("the file does not hold whole frames")
@@ -45,15 +52,15 @@ def export_lfp(spark: SparkSession, path: str, out: str, channels: int, rate: in
     os.makedirs(out, exist_ok=True)
     with open(record, "w") as f:
         json.dump(settings, f)
-    samples, factor, taps = size // frame, rate // out_rate, kaiser_taps(rate, out_rate, passband)
-    outputs = -(-samples // factor)
+    samples, taps = size // frame, kaiser_taps(rate * up, out_rate, passband)
+    outputs = -(-samples * up // down)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p in batch["id"]:
                 name, n = f"{out}/part-{p:08d}", min(part, outputs - p * part)
                 if not os.path.exists(name + ".json"):
-                    y = np.rint(filtered(path, channels, samples, p * part, n, factor, taps))
+                    y = np.rint(filtered(path, channels, samples, p * part, n, up, down, taps))
                     clipped = int(((y < -32768) | (y > 32767)).sum())
                     own = f".{os.getpid()}.partial"  # two attempts at one task never share a file
                     y.clip(-32768, 32767).astype("<i2").tofile(name + own)
