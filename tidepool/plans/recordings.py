@@ -11,6 +11,7 @@ from ..operators import preprocess as P
 from ..operators import quality as Q
 from ..operators import report as R
 from ..operators import sampling as S
+from ..operators import session as E
 from ..operators import waveforms as WF
 from ..sources import files, ledger_store
 from ..streaming import assignment as RA
@@ -214,7 +215,7 @@ def indexed_events_with_snr(v):
 # ---- evidence ---------------------------------------------------------------------------------------
 
 NEAR = "near as (select a.channel_index as channel, b.channel_index as contact from channels a, channels b where (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 400)"
-SPIKES = "spikes as (select row_id, sample_index as t, channel_index as unit, row_id % 5 as pass, 0.8 + row_id % 20 / 100.0 as score, row_id % 30 / 100.0 as margin, 0.4 + row_id % 18 / 10.0 as amplitude from ledger where row_id % 3 = 0)"
+SPIKES = "spikes as (select row_id, sample_index as t, channel_index as unit, row_id % 5 as pass, 0.8 + row_id % 20 / 100.0 as score, row_id % 30 / 100.0 as margin, 0.4 + row_id % 18 / 10.0 as amplitude from ledger)"
 
 
 def _near(v: Views) -> DataFrame:
@@ -228,19 +229,20 @@ def _with_ledger(*more: str) -> str:
     return ", ".join([views, *more]) + " "
 
 
-@query(_with_ledger(NEAR) + "select row_id, t, channel from (select row_id, sample_index as t, channel_index as channel from snr where snr >= 1.5 and row_id % 3 <> 0) e where not exists (select 1 from near n join near m on m.contact = n.contact join ledger s on s.channel_index = m.channel and s.row_id % 3 = 0 and abs(s.sample_index - e.t) <= 60 where n.channel = e.channel)")
+@query(_with_ledger(NEAR) + "select row_id, t, channel from (select row_id, sample_index as t, channel_index as channel from snr join (select event_id, event_type as kind from events) on event_id = row_id where snr >= 1.5 and kind <> 'click') e where not exists (select 1 from near n join near m on m.contact = n.contact join ledger s on s.channel_index = m.channel and s.event_type = 'click' and abs(s.sample_index - e.t) <= 60 where n.channel = e.channel)")
 def unexplained_events(v):
     near = _near(v)
     contacts = near.select(F.col("channel").alias("owner"), F.lit("channel").alias("kind"), "contact").unionByName(near.select(F.col("channel").alias("owner"), F.lit("unit").alias("kind"), "contact"))
-    snr = _snr(v)
-    events = snr.where("row_id % 3 <> 0").select("row_id", F.col("sample_index").alias("t"), F.col("channel_index").alias("channel"), "snr")
-    spikes = snr.where("row_id % 3 = 0").select(F.col("sample_index").alias("t"), F.col("channel_index").alias("unit"))
+    led = v.ledger()
+    snr = L.with_snr(led, L.robust_noise(led))
+    events = snr.where("event_type <> 'click'").select("row_id", F.col("sample_index").alias("t"), F.col("channel_index").alias("channel"), "snr")
+    spikes = snr.where("event_type = 'click'").select(F.col("sample_index").alias("t"), F.col("channel_index").alias("unit"))
     return D.unexplained(events, spikes, contacts, 60, 1.5).select("row_id", "t", "channel")
 
 
 def _matches(v: Views) -> DataFrame:
     r = F.col("row_id")
-    return v.ledger().where("row_id % 3 = 0").select(r.alias("id"), F.col("sample_index").alias("t"), F.col("channel_index").alias("unit"), (r % 5).alias("pass"), (0.8 + r % 20 / 100).alias("score"), (r % 30 / 100).alias("margin"), (0.4 + r % 18 / 10).alias("amplitude"))
+    return v.ledger().select(r.alias("id"), F.col("sample_index").alias("t"), F.col("channel_index").alias("unit"), (r % 5).alias("pass"), (0.8 + r % 20 / 100).alias("score"), (r % 30 / 100).alias("margin"), (0.4 + r % 18 / 10).alias("amplitude"))
 
 
 @query(_with_ledger(NEAR, SPIKES) + "select row_id as id, t, unit from spikes a where pass = 0 and score >= 0.9 and margin >= 0.1 and amplitude between 0.5 and 2 and not exists (select 1 from spikes b join near n on n.channel = a.unit join near m on m.contact = n.contact and m.channel = b.unit where b.row_id <> a.row_id and abs(b.t - a.t) <= 600)")
@@ -255,10 +257,10 @@ def epoch_isolated_events(v):
     return D.epoch_isolated(events, near, 600).select("row_id", "isolated")
 
 
-@query("select row_id, sample_index as sample, channel_index as channel, coalesce(unit, -1) as unit from ledger left join (select sample_index as s, channel_index as c, arg_max(user_id, row_id) as unit from ledger where row_id % 4 = 0 group by 1, 2) on s = sample_index and c = channel_index", "ledger")
+@query("select row_id, sample_index as sample, channel_index as channel, coalesce(unit, -1) as unit from ledger left join (select sample_index as s, channel_index as c, arg_max(user_id, row_id) as unit from ledger where event_type = 'click' group by 1, 2) on s = sample_index and c = channel_index", "ledger")
 def matched_candidates(v):
     led = v.ledger()
-    spikes = led.where("row_id % 4 = 0").select(F.col("sample_index").alias("candidate_sample"), F.col("channel_index").alias("channel"), F.col("user_id").alias("unit"), F.lit(1.0).alias("score"), F.col("row_id").alias("order"))
+    spikes = led.where("event_type = 'click'").select(F.col("sample_index").alias("candidate_sample"), F.col("channel_index").alias("channel"), F.col("user_id").alias("unit"), F.lit(1.0).alias("score"), F.col("row_id").alias("order"))
     return D.matched_candidates(led.select("row_id", F.col("sample_index").alias("sample"), F.col("channel_index").alias("channel")), spikes).drop("score")
 
 
@@ -446,11 +448,34 @@ def event_epochs(v):
 def shifted_assignment(v):
     """Events against the templates of their contacts; the view's vectors are nearly random, so the threshold is low."""
     t = _day_models(v)
-    bank = t.where("unit % 4 = 0").select("unit", "anchor", "contacts", F.col("w").alias("last"))
+    bank = t.select("unit", "anchor", "contacts", F.col("w").alias("last"))
     events = t.select(F.col("unit").alias("row_id"), F.col("unit").alias("t"), F.col("anchor").alias("channel"), "contacts", "w")
     return _shown(RA.assigned(events, bank, 0.3, 0.01).select("row_id", "unit", "score", "runner", "margin", "amplitude", "shift", "teaches"), "score", "runner", "margin", "amplitude")
 
 
+@query("select unit, count(*) filter (early) as n, (case when count(*) filter (early) >= 20 and avg((abs(shift) >= 2)::int) filter (early) >= 0.05 then 3 else 2 end)::bigint as radius from (select user_id as unit, row_id % 6 - 3 as shift, sample_index < (select min(sample_index) from ledger) + 1000000 as early from ledger) group by 1", "ledger")
+def pilot_shift_radius(v):
+    fits = v.ledger().select(F.col("user_id").alias("unit"), F.col("sample_index").alias("t"), (F.col("row_id") % 6 - 3).alias("shift"))
+    return E.pilot_radius(fits, 2, 1000.0, 1000.0)
+
+
+@query("select row_id as id, row_id % 90 as done, 90::bigint as total, case when row_id % 2 = 0 then row_id % 3 * 3600 + row_id % 60 * 60 + 7 end as eta_seconds from ledger", "ledger")
+def log_progress(v):
+    r = F.col("row_id")
+    eta = F.format_string("%d:%02d:07", r % 3, r % 60)
+    log = F.concat(F.lit("start 1/90 [00:01<00:05, 2it/s]\n"), (r % 90).cast("string"), F.lit("/90 [00:09<"), F.when(r % 2 == 0, eta).otherwise("?"), F.lit(", 3it/s] x"))
+    return E.log_progress(v.ledger().select(r.alias("id"), log.alias("log")))
+
+
+@query("select user_id as job, round(100 * ([0, 5, 25][(place + 1)::int] + [5, 20, 75][(place + 1)::int] * least(done / 40.0, 0.99)) / 100, 6) as percent, ['load', 'detect', 'sort'][(place + 1)::int] as stage from (select user_id, max(row_id % 3) as place, arg_max(row_id % 41, row_id % 3) as done from (select * from ledger qualify row_number() over (partition by user_id, row_id % 3 order by row_id) = 1) group by 1)", "ledger")
+def job_progress(v):
+    steps = v.spark.createDataFrame([(0, "load", 5), (1, "detect", 20), (2, "sort", 75)], "place int, stage string, weight long")
+    names = F.element_at(F.array(F.lit("load"), F.lit("detect"), F.lit("sort")), (F.col("row_id") % 3 + 1).cast("int"))
+    first = L.first_observation(v.ledger().select("user_id", "row_id", names.alias("stage")), ["user_id", "stage"], ["row_id"])
+    tasks = first.select(F.col("user_id").alias("job"), "stage", (F.col("row_id") % 41).alias("done"), F.lit(40).cast("long").alias("total"))
+    return _shown(E.job_progress(steps, tasks), "percent")
+
+
 NATURAL = "'src' || lpad(regexp_extract(source, '([0-9]+)', 1), 20, '0')"
 
 
