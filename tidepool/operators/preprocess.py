@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ledger import MAD
-from .signal import butterworth_band, zero_phase
+from .signal import butterworth_band, haloed, zero_phase
 
 SATURATED, FLAT, DROPOUT, NOISY, ARTIFACT, USER_BAD = 1, 2, 4, 8, 16, 32
 FLOOR = 0.01
@@ -40,13 +40,6 @@ def shank_reference(grid: DataFrame, channels: DataFrame, least: int = 2) -> Dat
     return grid.join(F.broadcast(channels.select("channel", "shank", "bad")), "channel").select("t", "channel", (F.col("v") - centre).alias("v"))  # a row per channel
 
 
-def haloed(rows: DataFrame, core: int, halo: int) -> DataFrame:
-    """Rows with ``core``, once for every core whose halo they are in, and ``owned`` for the one they belong to."""
-    at = lambda t: F.floor(t / core)
-    spread = rows.withColumn("core", F.explode(F.sequence(at(F.col("t") - halo), at(F.col("t") + halo))))
-    return spread.withColumn("owned", at(F.col("t")) == F.col("core"))
-
-
 def band_passed(grid: DataFrame, rate: float, core: int, halo: int, low: float = 300.0, high: float | None = None, order: int = 3) -> DataFrame:
     """Zero-phase Butterworth band pass by core and channel; a core's halo is only cut by the recording's ends."""
     high = min(6000.0, 0.4 * rate) if high is None else high

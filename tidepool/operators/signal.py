@@ -14,19 +14,31 @@ def common_median(grid: DataFrame, least: int = 2) -> DataFrame:
     return grid.withColumn("r", F.col("v") - F.when(enough, F.median("v").over(at)).otherwise(0.0))
 
 
-def local_maxima(grid: DataFrame, radius: int, floor: float) -> DataFrame:
-    """Above the floor, above the ``radius`` samples before, not below those after; missing ones don't matter."""
-    order = Window.partitionBy("channel").orderBy("t")
+#: Samples of a core where nothing else is asked for: what looks along time does so within (core, channel).
+CORE = 60_000
+
+
+def haloed(rows: DataFrame, core: int, halo: int) -> DataFrame:
+    """Rows with ``core``, once for every core whose halo they are in, and ``owned`` for the one they belong to."""
+    at = lambda t: F.floor(t / core)
+    spread = rows.withColumn("core", F.explode(F.sequence(at(F.col("t") - halo), at(F.col("t") + halo))))
+    return spread.withColumn("owned", at(F.col("t")) == F.col("core"))
+
+
+def local_maxima(grid: DataFrame, radius: int, floor: float, core: int = CORE) -> DataFrame:
+    """Above the floor, above the ``radius`` samples before, not below those after; missing ones don't matter. By core, with a halo of the radius."""
+    order = Window.partitionBy("core", "channel").orderBy("t")
     before, after = F.max("v").over(order.rowsBetween(-radius, -1)), F.max("v").over(order.rowsBetween(1, radius))
-    marked = grid.withColumn("_p", before).withColumn("_n", after)
-    return marked.where((F.col("v") > floor) & (F.col("_p").isNull() | (F.col("v") > F.col("_p"))) & (F.col("_n").isNull() | (F.col("v") >= F.col("_n")))).drop("_p", "_n")
+    marked = haloed(grid, core, radius).withColumn("_p", before).withColumn("_n", after)
+    return marked.where(F.col("owned") & (F.col("v") > floor) & (F.col("_p").isNull() | (F.col("v") > F.col("_p"))) & (F.col("_n").isNull() | (F.col("v") >= F.col("_n")))).drop("_p", "_n", "core", "owned")
 
 
-def smooth3(grid: DataFrame) -> DataFrame:
-    """[1, 2, 1] / 4 over time; ends stay as they are."""
-    order = Window.partitionBy("channel").orderBy("t")
+def smooth3(grid: DataFrame, core: int = CORE) -> DataFrame:
+    """[1, 2, 1] / 4 over time; ends stay as they are. By core, with a halo of one sample."""
+    order = Window.partitionBy("core", "channel").orderBy("t")
     a, b = F.lag("v").over(order), F.lead("v").over(order)
-    return grid.withColumn("s", F.when(a.isNull() | b.isNull(), F.col("v")).otherwise((a + 2 * F.col("v") + b) * 0.25)).select("t", "channel", F.col("s").alias("v"))
+    smooth = haloed(grid, core, 1).withColumn("s", F.when(a.isNull() | b.isNull(), F.col("v")).otherwise((a + 2 * F.col("v") + b) * 0.25))
+    return smooth.where("owned").select("t", "channel", F.col("s").alias("v"))
 
 
 def spatial_suppression(peaks: DataFrame, neighbours: DataFrame, radius: int) -> DataFrame:
@@ -42,10 +54,10 @@ def spatial_suppression(peaks: DataFrame, neighbours: DataFrame, radius: int) ->
     return pairs.groupBy("t", "channel", "v").agg(F.max("v2").alias("m")).where(F.col("v") >= F.col("m") - 1e-8).drop("m")
 
 
-def channel_flags(grid: DataFrame, saturated: float, flat: float = 0.98, zero: float = 0.99) -> DataFrame:
-    order = Window.partitionBy("channel").orderBy("t")
+def channel_flags(grid: DataFrame, saturated: float, flat: float = 0.98, zero: float = 0.99, core: int = CORE) -> DataFrame:
+    order = Window.partitionBy("core", "channel").orderBy("t")
     still = (F.col("v") == F.lag("v").over(order)).cast("double")
-    rows = grid.withColumn("_flat", still)
+    rows = haloed(grid, core, 1).withColumn("_flat", still).where("owned")
     share = lambda c: F.avg(c.cast("double"))
     out = rows.groupBy("channel").agg(F.round(share(F.col("v") >= saturated), 6).alias("saturated"), F.round(F.avg("_flat"), 6).alias("flat"), F.round(share(F.col("v") == 0), 6).alias("zero"))
     bit = lambda c, b: F.when(c, b).otherwise(0)

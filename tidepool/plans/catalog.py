@@ -155,12 +155,12 @@ def _peaks_sql(r: int, src: str = "grid", floor: float = 60.0) -> str:
 
 @query(_peaks_sql(1), "grid")
 def temporal_local_max_r1(v):
-    return W.local_maxima(v.grid(), 1, 60.0)
+    return W.local_maxima(v.grid(), 1, 60.0, 256)
 
 
 @query(_peaks_sql(5), "grid")
 def temporal_local_max_r5(v):
-    return W.local_maxima(v.grid(), 5, 60.0)
+    return W.local_maxima(v.grid(), 5, 60.0, 256)
 
 
 SMOOTH = "(select t, channel, case when a is null or b is null then v else (a + 2 * v + b) * 0.25::double end as v from (select *, lag(v) over w a, lead(v) over w b from grid window w as (partition by channel order by t)))"
@@ -168,18 +168,18 @@ SMOOTH = "(select t, channel, case when a is null or b is null then v else (a +
 
 @query(_peaks_sql(2, SMOOTH), "grid")
 def smooth3_local_max(v):
-    return W.local_maxima(W.smooth3(v.grid()), 2, 60.0)
+    return W.local_maxima(W.smooth3(v.grid(), 256), 2, 60.0, 256)
 
 
 @query(f"select a.t, a.channel, a.v from ({_peaks_sql(2)}) a join ({_peaks_sql(2)}) b on abs(a.channel - b.channel) <= 1 and abs(a.t - b.t) <= 4 group by all having a.v >= max(b.v) - 1e-8", "grid")
 def spatial_nms(v):
     n = v.spark.range(8).select(F.col("id").alias("channel")).withColumn("neighbour", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("channel") - 1), F.least(F.lit(7).cast("long"), F.col("channel") + 1))))
-    return W.spatial_suppression(W.local_maxima(v.grid(), 2, 60.0), n, 2)
+    return W.spatial_suppression(W.local_maxima(v.grid(), 2, 60.0, 256), n, 2)
 
 
 @query("select *, ((saturated > 1e-4)::bigint | 2 * (flat > 0.98)::bigint | 4 * (zero > 0.99)::bigint) as flags from (select channel, round(avg((v >= 700)::int), 6) as saturated, round(avg((v = p)::int), 6) as flat, round(avg((v = 0)::int), 6) as zero from (select *, lag(v) over (partition by channel order by t) as p from grid) group by 1)", "grid")
 def qc_channel_flags(v):
-    return W.channel_flags(v.grid(), 700.0)
+    return W.channel_flags(v.grid(), 700.0, core=256)
 
 
 @query("select sample_index // 86400 as block_id, count(*) as n, avg((event_type = 'error')::int) > 0.2 as interval_bad from ledger group by 1", "ledger")
