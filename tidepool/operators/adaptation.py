@@ -45,47 +45,62 @@ def promote(models: DataFrame, evidence: DataFrame, last: DataFrame) -> DataFram
     return support.join(judged, "unit").select("unit", "support", reason.alias("reason"), "training_count", "validation_count", shown("relative_change"), shown("validation_gain"))
 
 
-def two_shapes(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """Two clusters of the rows of x on their three main directions: labels of x and of y, and how far apart they are. None if x does not vary."""
-    mean = x.mean(axis=0)
-    _, spread, axes = np.linalg.svd(x - mean, full_matrices=False)
-    if spread[0] < 1e-6:
-        return None
-    x, y = (x - mean) @ axes[:3].T, (y - mean) @ axes[:3].T
-    means = np.stack([x[x[:, 0].argmin()], x[x[:, 0].argmax()]])
-    owner = lambda z: np.linalg.norm(z[:, None] - means, axis=2).argmin(axis=1)
-    for _ in range(12):
-        labels = owner(x)
-        if not 8 <= labels.sum() <= len(x) - 8:
+def halves(z: np.ndarray, rounds: int = 12, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Two means of the rows of z, begun at the ends of its first direction, and for each row whether it is beyond the plane midway to the second."""
+    pair = z[[z[:, 0].argmin(), z[:, 0].argmax()]]
+    for turn in range(rounds):
+        beyond = behind(z, pair)
+        if not least <= beyond.sum() <= len(z) - least or turn == rounds - 1:
             break
-        means = np.stack([x[labels == j].mean(axis=0) for j in (0, 1)])
-    inside = np.sqrt(((x - means[labels]) ** 2).sum(axis=1).mean())
-    return labels, owner(y), float(np.linalg.norm(means[0] - means[1]) / max(inside, 1e-9))
-
-
-def split_verdict(old: np.ndarray, train: np.ndarray, train_core: np.ndarray, held: np.ndarray, held_core: np.ndarray, centre: slice) -> tuple[str, dict, np.ndarray | None]:
-    """Whether a unit is two: (reason, figures, the two waveforms, that nearer to the old one first). Arrays are (n, time, slot)."""
-    if len(train) < 32 or len(held) < 16:
-        return "insufficient_support", {}, None
-    flat = lambda z: z[:, centre].reshape(len(z), -1)
-    found = two_shapes(flat(train), flat(held))
-    if found is None:
-        return "no_shape_variation", {}, None
-    a, b, separation = found
-    if min(np.bincount(a, minlength=2)) < 12 or min(np.bincount(b, minlength=2)) < 6:
-        return "unbalanced_clusters", {}, None
-    if any(len(set(cores[labels == j])) < 2 for j in (0, 1) for labels, cores in ((a, train_core), (b, held_core))):
-        return "temporal_segregation", {}, None
-    children = np.stack([np.median(train[a == j], axis=0) for j in (0, 1)])
-    before, after = ((held - old) ** 2).mean(), ((held - children[b]) ** 2).mean()
-    norms = np.linalg.norm(children.reshape(2, -1), axis=1)
-    figures = {"separation": separation, "validation_gain": float(1 - after / max(before, 1e-9)), "child_similarity": float((children[0] * children[1]).sum() / max(norms.prod(), 1e-9))}
-    if separation < 2.5 or figures["validation_gain"] < 0.1 or figures["child_similarity"] > 0.98:
-        return "separation_or_holdout_rejected", figures, None
-    peak = old.shape[0] // 2 * old.shape[1]
-    if any(np.abs(c).argmax() != peak for c in children):
-        return "alignment_changed", figures, None
-    return "validated_pca_split", figures, children[np.argsort(((children - old) ** 2).sum(axis=(1, 2)), kind="stable")]
+        pair = np.array([z[~beyond].mean(axis=0), z[beyond].mean(axis=0)])
+    return pair, beyond
+
+
+def behind(z: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    return (z - pair.mean(axis=0)) @ (pair[1] - pair[0]) > 0
+
+
+def shape_measures(old: np.ndarray, w: np.ndarray, core: np.ndarray, held: np.ndarray, centre: slice) -> dict:
+    """What tells whether a unit's snippets (n, time, slot) have two shapes. Directions and means come from those that aren't held out."""
+    told: dict = {"training_count": int((~held).sum()), "validation_count": int(held.sum())}
+    if min(told.values()) < 2:
+        return told
+    line = w[:, centre].reshape(len(w), -1)
+    line = line - line[~held].mean(axis=0)
+    power, axes = np.linalg.eigh(line[~held].T @ line[~held])
+    told["spread"] = float(np.sqrt(max(power[-1], 0)))
+    if told["spread"] < 1e-6:
+        return told
+    z = line @ axes[:, :-4:-1]
+    pair, _ = halves(z[~held])
+    beyond = behind(z, pair)
+    parts = [(h, s, held_out & (beyond == s)) for h, held_out in ((0, ~held), (1, held)) for s in (False, True)]
+    told |= {name: min(int(m.sum()) for h, _, m in parts if h == k) for k, name in enumerate(("least_trained", "least_held"))}
+    told["least_cores"] = min(len(np.unique(core[m])) for _, _, m in parts)
+    if not told["least_trained"]:
+        return told
+    children = np.array([np.median(w[m], axis=0) for h, _, m in parts if h == 0])
+    scatter = z[~held] - pair[beyond[~held].astype(int)]
+    told["separation"] = float(np.linalg.norm(pair[1] - pair[0]) / max(np.sqrt((scatter**2).sum(axis=1).mean()), 1e-9))
+    before, after = ((w[held] - old) ** 2).mean(), ((w[held] - children[beyond[held].astype(int)]) ** 2).mean()
+    told["validation_gain"] = float(1 - after / max(before, 1e-9))
+    told["child_similarity"] = float(np.vdot(*children) / max(np.linalg.norm(children[0]) * np.linalg.norm(children[1]), 1e-9))
+    told["aligned"] = bool((np.abs(children).reshape(2, -1).argmax(axis=1) == old.shape[0] // 2 * old.shape[1]).all())
+    near = np.linalg.norm((children - old).reshape(2, -1), axis=1)
+    told |= {name: children[i].ravel().tolist() for name, i in zip(("parent", "child"), np.argsort(near, kind="stable"), strict=True)}
+    return told
+
+
+#: Why a unit isn't split, the first that holds; limits are fixed values.
+SPLIT_GATES = (
+    ("insufficient_support", "training_count < 32 or validation_count < 16"),
+    ("no_shape_variation", "spread < 1e-6"),
+    ("unbalanced_clusters", "least_trained < 12 or least_held < 6"),
+    ("temporal_segregation", "least_cores < 2"),
+    ("separation_or_holdout_rejected", "separation < 2.5 or validation_gain < 0.1 or child_similarity > 0.98"),
+    ("alignment_changed", "not aligned"),
+)
+FIGURES = ("separation", "validation_gain", "child_similarity")
 
 
 def pca_splits(models: DataFrame, snippets: DataFrame, times: int, centre: tuple[int, int], most_new: int = 16) -> DataFrame:
@@ -95,6 +110,7 @@ def pca_splits(models: DataFrame, snippets: DataFrame, times: int, centre: tuple
     window, so a group is bounded; no core may be on both sides. ``parent`` keeps
     the unit's number, ``child`` is to be added; of valid splits those of the least units are made.
     """
+    columns = {"unit": "long", "training_count": "long", "validation_count": "long", "spread": "double", "least_trained": "long", "least_held": "long", "least_cores": "long"} | dict.fromkeys(FIGURES, "double") | {"aligned": "boolean", "parent": "array<double>", "child": "array<double>"}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["core", "row"])
@@ -103,19 +119,19 @@ def pca_splits(models: DataFrame, snippets: DataFrame, times: int, centre: tuple
         held, core = rows["held"].to_numpy(bool), rows["core"].to_numpy()
         if set(core[held]) & set(core[~held]):
             raise ValueError("a core is on both sides")
-        reason, figures, made = split_verdict(old, w[~held], core[~held], w[held], core[held], slice(*centre))
-        row = {"unit": rows["unit"].iloc[0], "training_count": (~held).sum(), "validation_count": held.sum(), "reason": reason}
-        row |= {k: figures.get(k) for k in ("separation", "validation_gain", "child_similarity")}
-        row |= {"parent": None if made is None else made[0].ravel().tolist(), "child": None if made is None else made[1].ravel().tolist()}
-        return pd.DataFrame([row])
-
-    schema = "unit long, training_count long, validation_count long, reason string, separation double, validation_gain double, child_similarity double, parent array<double>, child array<double>"
-    judged = snippets.select("unit", "row", "core", "held", "w").join(models.select("unit", F.col("w").alias("_old")), "unit").groupBy("unit").applyInPandas(run, schema)
-    place = F.row_number().over(Window.partitionBy(F.col("child").isNotNull()).orderBy("unit"))  # a row per unit, 4,096 at most
-    made = F.col("child").isNotNull() & (F.col("_p") <= most_new)
-    late = F.col("child").isNotNull() & ~made
-    kept = lambda c: F.when(made, F.col(c)).alias(c)
-    return judged.withColumn("_p", place).select("unit", "training_count", "validation_count", F.when(late, "model_budget").otherwise(F.col("reason")).alias("reason"), "separation", "validation_gain", "child_similarity", kept("parent"), kept("child"))
+        told = shape_measures(old, w, core, held, slice(*centre)) | {"unit": rows["unit"].iloc[0]}
+        return pd.DataFrame([[told.get(c) for c in columns]], columns=list(columns))
+
+    met = snippets.select("unit", "row", "core", "held", "w").join(models.select("unit", F.col("w").alias("_old")), "unit")
+    judged = met.groupBy("unit").applyInPandas(run, ", ".join(f"{c} {t}" for c, t in columns.items()))
+    fails = F.coalesce(*[F.when(F.expr(c), F.lit(name)) for name, c in SPLIT_GATES])
+    judged = judged.withColumn("reason", F.coalesce(fails, F.lit("validated_pca_split"))).withColumn("_ok", F.col("reason") == "validated_pca_split")
+    place = F.row_number().over(Window.partitionBy("_ok").orderBy("unit"))  # a row per unit, 4,096 at most
+    judged = judged.withColumn("_made", F.col("_ok") & (place <= most_new))
+    early = [name for name, _ in SPLIT_GATES[:4]]
+    shown = [F.when(~F.col("reason").isin(early), F.col(c)).alias(c) for c in FIGURES]
+    made = [F.when(F.col("_made"), F.col(c)).alias(c) for c in ("parent", "child")]
+    return judged.select("unit", "training_count", "validation_count", F.when(F.col("_ok") & ~F.col("_made"), "model_budget").otherwise(F.col("reason")).alias("reason"), *shown, *made)
 
 
 def proposals(unknown: DataFrame, horizon: int, dead: int, most: int = 4) -> DataFrame:
