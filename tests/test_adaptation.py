@@ -59,3 +59,18 @@ def test_proposals_and_enrolment(spark):
     got = {(r.anchor, r.proposal): (r.support, r.reason) for r in A.enrolment(found, models, 5).collect()}
     assert got == {(7, 0): (30, "enrolled"), (7, 1): (10, "insufficient_temporal_support"), (8, 0): (30, "consistency_duplicate_or_refractory_rejected")}
     assert {r.reason for r in A.enrolment(found, models.limit(0), 5, most=1).collect()} == {"enrolled", "active_model_budget", "insufficient_temporal_support"}
+
+
+def test_enrolment_knows_models_of_other_anchors(spark):
+    rng = np.random.default_rng(7)
+    shape = rng.normal(size=(16, 4))
+    members = spark.createDataFrame([(1, 0, 1000 * i, i % 6, (shape + rng.normal(scale=0.01, size=(16, 4))).ravel().tolist()) for i in range(36)], "anchor long, proposal long, sample long, core long, " + W)
+    moved = np.zeros((16, 4))
+    moved[1:, :3] = shape[:-1, 1:]  # the same shape one sample later, seen from the next anchor
+    moved[:, 3] = 0.0
+    models = spark.createDataFrame([(2, moved.ravel().tolist())], "anchor long, " + W)
+    contacts = spark.createDataFrame([(a, [a, a + 1, a + 2, a + 3]) for a in range(4)], "anchor long, contacts array<long>")
+    alone, near = (A.enrolment(members, models, 10, contacts=c).first() for c in (None, contacts))
+    assert alone.reason == "enrolled" and alone.likeness == 0.0
+    lost = np.sqrt((shape[:15, 1:] ** 2).sum() / (shape**2).sum())
+    assert abs(near.likeness - lost) < 0.02 and near.reason == ("consistency_duplicate_or_refractory_rejected" if near.likeness >= 0.85 else "enrolled")

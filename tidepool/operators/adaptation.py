@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .learning import heldout_refinement
+from .templates import shifted_match
 
 RECENT, BUDGET = 64, 32768
 
@@ -168,12 +169,14 @@ def proposals(unknown: DataFrame, horizon: int, dead: int, most: int = 4) -> Dat
     return unknown.select("anchor", "sample", "core", "w").groupBy("anchor").applyInPandas(run, "anchor long, proposal long, sample long, core long, w array<double>")
 
 
-def enrolment(members: DataFrame, models: DataFrame, refractory: int, most: int = 8) -> DataFrame:
+def enrolment(members: DataFrame, models: DataFrame, refractory: int, most: int = 8, contacts: DataFrame | None = None) -> DataFrame:
     """(anchor, proposal, support, reason, consistency, likeness, violations, w): which proposals may become units.
 
     24 snippets of 3 cores; the last third of the cores is held out (12 and 6 at
     least); a tenth of the held-out cosines at most is below 0.9, no model (anchor, w) of the
     anchor is like it by 0.85, and 1 % of the intervals at most is below ``refractory``.
+    With ``contacts`` (anchor, contacts), a row per anchor, models of every anchor
+    that shares a contact are compared, contact by contact, over five shifts.
     """
     key = ["anchor", "proposal"]
     rows = _split_at(members, key)
@@ -186,6 +189,12 @@ def enrolment(members: DataFrame, models: DataFrame, refractory: int, most: int
     held = rows.where("_held").select(*key, F.col("w").alias("_h")).join(shape, key)
     agree = held.groupBy(*key).agg(F.round(F.percentile(cosine(F.col("w"), F.col("_h")), 0.1), 6).alias("consistency"))
     like = shape.join(models.select("anchor", F.col("w").alias("_m")), "anchor").groupBy(*key).agg(F.round(F.max(cosine(F.col("w"), F.col("_m"))), 6).alias("likeness"))
+    if contacts is not None:
+        at = F.broadcast(contacts)
+        a = shape.join(at, "anchor").select(*key, F.col("w").alias("lw"), F.col("contacts").alias("lc"), F.explode("contacts").alias("_on"))
+        b = models.join(at, "anchor").select(F.xxhash64("anchor", "w").alias("_id"), F.col("w").alias("rw"), F.col("contacts").alias("rc"), F.explode("contacts").alias("_on")).where("_on >= 0")
+        met = a.join(b, "_on").dropDuplicates([*key, "_id"])
+        like = met.withColumn("_s", shifted_match(F.col("lw"), F.col("lc"), F.col("rw"), F.col("rc"), share=0.0, whole=True)["score"]).groupBy(*key).agg(F.round(F.max("_s"), 6).alias("likeness"))
     full = counts.join(shape, key, "left").join(agree, key, "left").join(like, key, "left").withColumn("likeness", F.coalesce("likeness", F.lit(0.0)))
     refused = (F.col("consistency") < 0.9) | (F.col("likeness") >= 0.85) | (F.col("violations") > 0.01)
     reason = F.when((F.col("support") < 24) | (F.col("_c") < 3), "insufficient_temporal_support").when((F.col("_train") < 12) | (F.col("_valid") < 6), "insufficient_holdout").when(refused, "consistency_duplicate_or_refractory_rejected").otherwise("enrolled")

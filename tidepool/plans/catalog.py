@@ -627,12 +627,16 @@ def pca_split_units(v):
     return A.pca_splits(models, held.select("unit", F.col("sample").alias("row"), "core", (F.col("core") % 3 == 0).alias("held"), "w"), 16, (4, 13))
 
 
+def _patches(v: Views) -> DataFrame:
+    return v.spark.range(32).select(F.col("id").alias("anchor"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: (F.col("id") + s) % 32).alias("contacts"))
+
+
 @query()
 def novelty_enrolment(v):
     t = v.templates()
     held = S.least_per_group(t.withColumn("core", F.floor(F.col("unit") / 400)), ["anchor", "core"], lambda: H.by_time(F.col("unit")), 256)
     known = t.groupBy("anchor").agg(F.min_by("w", "unit").alias("w"))
-    return A.enrolment(A.proposals(held.select("anchor", F.col("unit").alias("sample"), "core", "w"), 1 << 40, 2), known, 1)
+    return A.enrolment(A.proposals(held.select("anchor", F.col("unit").alias("sample"), "core", "w"), 1 << 40, 2), known, 1, contacts=_patches(v))
 
 
 @query()
