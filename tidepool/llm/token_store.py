@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import local_path, mapped, scratch, text_of
-from .token_counts import BATCH_CHARS, CACHED_PRETOKENS, groups_by_size, special_tokens, split_special
+from .token_counts import CACHED_PRETOKENS, groups_by_size, special_tokens, split_special
 
 NULL_ID = -(1 << 63)
+#: Characters encoded at a time; fewer make more look-ups of the same pretokens.
+ENCODE_CHARS = 1_000_000
 
 
 class Encoder:
@@ -164,7 +166,7 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
                 files["off"].write(np.zeros(1, "<i8").tobytes())
             texts = batch.column(1).to_pylist()
             files["doc"].write(np.asarray(batch.column(0).fill_null(NULL_ID)).astype("<i8").tobytes())
-            for a, b in groups_by_size(texts, BATCH_CHARS):
+            for a, b in groups_by_size(texts, ENCODE_CHARS):
                 ids, lengths = machine.encode(texts[a:b], end_id)
                 files["ids"].write(ids.astype(kinds["ids"]).tobytes())
                 files["off"].write((n_tokens + np.cumsum(lengths)).astype("<i8").tobytes())
