@@ -368,3 +368,15 @@ def test_journal_resumes_and_carries_models(spark, tmp_path):
     (tmp_path / "copy" / "a.dat").write_bytes(b"abd")
     assert files.copies_differ(spark, [f"file://{tmp_path}/a.dat"], [f"file://{tmp_path}/copy/a.dat"]).count() == 1
     assert files.copies_differ(spark, [f"file://{tmp_path}/a.dat"], [f"file://{tmp_path}/a.dat"]).isEmpty()
+
+
+def test_unit_window_sample_settles_equal_times_by_row(spark, tmp_path):
+    rows = [(i, 1704067205, 7) for i in range(40)] + [(40 + i, 1704067300 + i, 8) for i in range(5)]
+    want = None
+    for n, order in ((1, "event_id"), (7, "event_id desc")):
+        at = f"{tmp_path}/{n}"
+        spark.createDataFrame(rows, "event_id long, at long, user_id long").selectExpr("event_id", "timestamp_seconds(at) as ts", "user_id", "'click' as event_type", "1.0D as value").orderBy(F.expr(order) if " " not in order else F.desc("event_id")).coalesce(1).write.parquet(f"{at}/events.parquet")
+        got = sorted(r.row_id for r in catalog.QUERIES["unit_window_sample"](spark, at).collect())
+        assert got[:3] == [0, 1, 2] and len(got) == 6
+        assert want is None or got == want
+        want = got

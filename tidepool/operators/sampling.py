@@ -57,10 +57,10 @@ def stratified(df: DataFrame, index: str, quotas: DataFrame, seed: int) -> DataF
     return hashed.withColumn("_r", F.row_number().over(order)).join(quotas, "stratum").where(F.col("_r") <= F.col("quota")).drop("_h", "_r", "quota")
 
 
-def least_per_group(df: DataFrame, keys: list[str], make, most: int) -> DataFrame:
-    """Per group the ``most`` rows of least priority ``make()``."""
+def least_per_group(df: DataFrame, keys: list[str], make, most: int, ties: list[str] = ()) -> DataFrame:
+    """Per group the ``most`` rows of least priority ``make()``, of equal ones those least by the columns ``ties``; without these, any."""
     hashed = H.with_hash(df, "_h", lambda: H.unsigned_order(make()))
-    return hashed.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))).where(F.col("_r") <= most).drop("_r", "_h")
+    return hashed.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", *ties))).where(F.col("_r") <= most).drop("_r", "_h")
 
 
 def reservoir(df: DataFrame, anchor: str, per_anchor: int, overall: int) -> DataFrame:
