@@ -380,3 +380,12 @@ def test_unit_window_sample_settles_equal_times_by_row(spark, tmp_path):
         assert got[:3] == [0, 1, 2] and len(got) == 6
         assert want is None or got == want
         want = got
+
+
+def test_novelty_sample_settles_equal_events_by_row(spark, tmp_path):
+    rows = [(i, 1704067205, 7 + 32 * (i % 3)) for i in range(40)]
+    for n in (1, 2):
+        at = f"{tmp_path}/{n}"
+        events = spark.createDataFrame(rows, "event_id long, at long, user_id long").selectExpr("event_id", "timestamp_seconds(at) as ts", "user_id", "'click' as event_type", "1.0D as value")
+        events.orderBy(F.asc("event_id") if n == 1 else F.desc("event_id")).coalesce(1).write.parquet(f"{at}/events.parquet")
+        assert sorted(r.row_id for r in catalog.QUERIES["novelty_sample"](spark, at).collect()) == list(range(16))
