@@ -389,3 +389,15 @@ def test_novelty_sample_settles_equal_events_by_row(spark, tmp_path):
         events = spark.createDataFrame(rows, "event_id long, at long, user_id long").selectExpr("event_id", "timestamp_seconds(at) as ts", "user_id", "'click' as event_type", "1.0D as value")
         events.orderBy(F.asc("event_id") if n == 1 else F.desc("event_id")).coalesce(1).write.parquet(f"{at}/events.parquet")
         assert sorted(r.row_id for r in catalog.QUERIES["novelty_sample"](spark, at).collect()) == list(range(16))
+
+
+def test_decoded_waveforms_of_large_sums(spark, tmp_path):
+    from compare import connect, differences
+
+    views = Views(spark, SF)
+    views.table("lineitem").withColumn("l_quantity", F.col("l_quantity") * 1000).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = connect(SF)
+    con.execute(f"create or replace view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert differences(catalog.QUERIES["decoded_waveforms"](spark, str(tmp_path)), con, catalog.ORACLES["decoded_waveforms"]) is None
+    with pytest.raises(Exception, match="exceeds int16"):
+        spark.range(1).select(waveforms.encoded(F.array(F.lit(32767.6)), 1.0)).collect()

@@ -80,10 +80,10 @@ def extracted(events: DataFrame, frames: DataFrame, spec: WaveformSpec, start: i
     return met.withColumn("values", values).drop("_b", "_f", "_first", "_w", "_local")
 
 
-def encoded(values: Column, scale: float) -> Column:
-    """Half-even counts; out of int16 is an error, never clipped."""
-    q = lambda x: F.rint(x / scale)
-    return F.transform(values, lambda x: F.when((q(x) >= -32768) & (q(x) <= 32767), q(x)).otherwise(F.raise_error(F.lit("waveform exceeds int16: raise the scale")).cast("double")).cast("int"))
+def encoded(values: Column, scale: float, bits: int = 16) -> Column:
+    """Half-even counts of 16 bits, as ledgers store them, or of 32; what is out of these is an error, never clipped."""
+    q, edge = lambda x: F.rint(x / scale), float(2 ** (bits - 1))
+    return F.transform(values, lambda x: F.when((q(x) >= -edge) & (q(x) < edge), q(x)).otherwise(F.raise_error(F.lit(f"waveform exceeds int{bits}: raise the scale")).cast("double")).cast("int"))
 
 
 def decoded(counts: Column, valid_start: Column, valid_stop: Column, anchor: Column, spec: WaveformSpec) -> Column:

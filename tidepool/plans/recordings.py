@@ -200,7 +200,7 @@ def waveform_windows(v):
 def decoded_waveforms(v):
     events, frames, (a, b) = _peaks(v)
     cut = WF.extracted(events, frames, SPEC, a, b, CORE)
-    back = WF.decoded(WF.encoded(F.col("values"), SPEC.scale_uv), F.col("valid_start"), F.col("valid_stop"), F.col("channel_index"), SPEC)
+    back = WF.decoded(WF.encoded(F.col("values"), SPEC.scale_uv, 32), F.col("valid_start"), F.col("valid_stop"), F.col("channel_index"), SPEC)
     real = F.filter("uv", lambda x: x.isNotNull())
     return cut.withColumn("uv", back).select("row_id", F.size(real).cast("long").alias("recorded"), F.aggregate(real, F.lit(0.0), lambda s, x: s + x).alias("total"))
 
