@@ -401,3 +401,17 @@ def test_decoded_waveforms_of_large_sums(spark, tmp_path):
     assert differences(catalog.QUERIES["decoded_waveforms"](spark, str(tmp_path)), con, catalog.ORACLES["decoded_waveforms"]) is None
     with pytest.raises(Exception, match="exceeds int16"):
         spark.range(1).select(waveforms.encoded(F.array(F.lit(32767.6)), 1.0)).collect()
+
+
+def test_pair_cosine_ties_are_of_rounded_scores(spark, tmp_path):
+    from compare import connect, differences
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(6):  # of period 4 but for a trace: shifts score alike to six digits, the higher one better beyond
+        w = np.tile(rng.normal(size=4), 16) + rng.normal(size=64) * 1e-6
+        rows.append((32 * i, [float(np.float32(x)) for x in w], i))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = connect(SF)
+    con.execute(f"create or replace view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert differences(catalog.QUERIES["pair_cosine_five_shift"](spark, str(tmp_path)), con, catalog.ORACLES["pair_cosine_five_shift"]) is None
