@@ -415,3 +415,21 @@ def test_pair_cosine_ties_are_of_rounded_scores(spark, tmp_path):
     con = connect(SF)
     con.execute(f"create or replace view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     assert differences(catalog.QUERIES["pair_cosine_five_shift"](spark, str(tmp_path)), con, catalog.ORACLES["pair_cosine_five_shift"]) is None
+
+
+@pytest.mark.parametrize("name", ["best_two_templates"])
+def test_templates_are_chosen_without_a_table_of_all_scores(spark, tmp_path, monkeypatch, name):
+    from compare import connect, differences
+    from tidepool.operators import templates
+
+    seen = []
+    real = templates._blocked
+    monkeypatch.setattr(templates, "_blocked", lambda *a: seen.append(real(*a)) or seen[-1])
+    monkeypatch.setattr(templates, "CELLS", 1000)
+    rng = np.random.default_rng(5)
+    vectors = [rng.normal(size=64).astype("f4").tolist() for _ in range(60)]  # many equal ones
+    spark.createDataFrame([(i, vectors[i * 7 % 60] if i % 3 else vectors[0], i % 4) for i in range(300)], "vec_id long, embedding array<float>, label int").repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = connect(SF)
+    con.execute(f"create or replace view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert differences(catalog.QUERIES[name](spark, str(tmp_path)), con, catalog.ORACLES[name]) is None
+    assert len(seen) == 1 and seen[0].count() <= 15 * 8 * (4 if name == "best_per_identity" else 2)
