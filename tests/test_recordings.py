@@ -417,7 +417,7 @@ def test_pair_cosine_ties_are_of_rounded_scores(spark, tmp_path):
     assert differences(catalog.QUERIES["pair_cosine_five_shift"](spark, str(tmp_path)), con, catalog.ORACLES["pair_cosine_five_shift"]) is None
 
 
-@pytest.mark.parametrize("name", ["best_two_templates", "assigned_events"])
+@pytest.mark.parametrize("name", ["best_two_templates", "assigned_events", "best_per_identity"])
 def test_templates_are_chosen_without_a_table_of_all_scores(spark, tmp_path, monkeypatch, name):
     from compare import connect, differences
     from tidepool.operators import templates
