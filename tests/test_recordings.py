@@ -433,3 +433,37 @@ def test_templates_are_chosen_without_a_table_of_all_scores(spark, tmp_path, mon
     con.execute(f"create or replace view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     assert differences(catalog.QUERIES[name](spark, str(tmp_path)), con, catalog.ORACLES[name]) is None
     assert len(seen) == 1 and seen[0].count() <= 15 * 8 * (4 if name == "best_per_identity" else 2)
+
+
+def test_assignment_tries_every_template_of_an_anchor(spark):
+    from tidepool.operators.templates import contact_matches
+
+    rng = np.random.default_rng(6)
+    shapes = rng.normal(size=(700, 64)).astype("f4").astype(float)
+    shapes[500:520] = shapes[:20]  # equal ones: the higher unit stays
+    bank = [(u, 5 if u % 7 else 6, [5, 6, 7, 8] if u % 7 else [6, 7, 8, -1], shapes[u].tolist()) for u in range(700)]
+    rows = []
+    for e in range(24):
+        w = (shapes[e * 25] * 0.9 + rng.normal(size=64) * 0.3).tolist()
+        if e % 5 == 0:
+            w[17] = None
+        rows.append((e, e, 5, [5, 6, 7, 8] if e % 3 else [6, 5, 4, -1], w))
+    events = spark.createDataFrame(rows, "row_id long, t long, channel long, contacts array<long>, w array<double>")
+    state = spark.createDataFrame(bank, "unit long, anchor long, contacts array<long>, last array<double>")
+    got = {r.row_id: r for r in assignment.assigned(events, state, 0.3, 0.01).collect()}
+    lw, lc = shapes.reshape(700, 16, 4), np.array([b[2] for b in bank])
+    found = 0
+    for e, _, _, contacts, w in rows:
+        near = [u for u in range(700) if bank[u][1] in contacts]
+        rw = np.tile(np.array([np.nan if x is None else x for x in w]).reshape(16, 4), (len(near), 1, 1))
+        score, amplitude, shift = contact_matches(lw[near], lc[near], rw, np.tile(contacts, (len(near), 1)), 2, 0.7, 0.9, False)
+        best = sorted(((score[n], u, amplitude[n], shift[n]) for n, u in enumerate(near) if score[n] > -1), reverse=True)
+        if not best:
+            assert got[e].score is None and got[e].unit == -1
+            continue
+        runner = best[1][0] if len(best) > 1 else 0.0
+        gap = best[0][0] - max(runner, 0.0)
+        assert (got[e].score, got[e].runner, got[e].amplitude, got[e].shift) == pytest.approx((best[0][0], runner, best[0][2], best[0][3]))
+        assert got[e].unit == (best[0][1] if best[0][0] >= 0.3 and gap >= 0.01 else -1)
+        found += got[e].unit >= 0
+    assert found >= 10

@@ -10,16 +10,20 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.evidence import epoch_isolated
-from ..operators.templates import shifted_match
+from ..operators.templates import CELLS, contact_matches, near_best, shifted_match  # noqa: F401 (a name of this module too)
 from ..sources import files
 
 STATE = "unit long, anchor long, contacts array<long>, w array<double>, last array<double>, assigned long, bins array<struct<bin:long,total:array<double>,n:long>>"
 
+SLICES = 4  # of an anchor's events
+
 
 def epochs(events: DataFrame, bin_samples: int, most: int) -> DataFrame:
     """Adds ``epoch``: (time bin, piece), a piece being cut before the sample that would take it over ``most`` events.
@@ -42,19 +46,49 @@ def epochs(events: DataFrame, bin_samples: int, most: int) -> DataFrame:
     return events.withColumn("_bin", t_bin).join(cut, ["_bin", "t"]).withColumn("epoch", F.struct(F.col("_bin").alias("bin"), F.col("_piece").alias("piece"))).drop("_bin", "_piece")
 
 
-def assigned(events: DataFrame, state: DataFrame, score: float = 0.88, margin: float = 0.03, most: int = 512) -> DataFrame:
-    """events (row_id, t, channel, contacts, w) with (unit, score, runner, margin, amplitude, shift, teaches); unit is -1 where score or margin don't suffice."""
-    near = events.select("row_id", F.explode("contacts").alias("anchor")).where("anchor >= 0")
-    bank = state.select("unit", "anchor", F.col("contacts").alias("lc"), F.col("last").alias("lw"))
-    met = near.join(F.broadcast(bank), "anchor")  # templates of a bank, as many as units
-    n = F.count("*").over(Window.partitionBy("row_id"))
-    met = met.withColumn("_n", F.when(n <= most, n).otherwise(F.raise_error(F.lit("too many templates near an event")).cast("long"))).where("_n > 0").drop("_n")
-    scored = met.join(events.select("row_id", "channel", F.col("contacts").alias("rc"), F.col("w").alias("rw")), "row_id").withColumn("m", shifted_match(F.col("lw"), F.col("lc"), F.col("rw"), F.col("rc"))).where("m.score > -1")
-    order = Window.partitionBy("row_id").orderBy(F.desc("m.score"), F.desc("unit"))
+def assigned(events: DataFrame, state: DataFrame, score: float = 0.88, margin: float = 0.03) -> DataFrame:
+    """events (row_id, t, channel, contacts, w) with (unit, score, runner, margin, amplitude, shift, teaches); unit is -1 where score or margin don't suffice.
+
+    All templates anchored on an event's contacts are tried, however many: by
+    anchor, in matrices that leave few to be scored one by one.
+    """
+    whole = F.forall("w", lambda x: x.isNotNull())
+    part = F.pmod(F.xxhash64("row_id"), F.lit(SLICES))
+    near = events.select(F.explode("contacts").alias("anchor"), part.alias("part"), "row_id", "channel", F.col("contacts").alias("rc"), F.col("w").alias("rw"), whole.alias("whole")).where("anchor >= 0")
+    bank = state.select("anchor", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))).alias("part"), "unit", F.col("contacts").alias("lc"), F.col("last").alias("lw"))
+    kinds = {c: events.schema[c].dataType.simpleString() for c in ("row_id",)} | {"unit": state.schema["unit"].dataType.simpleString()}
+    names = ["row_id", "unit", "score", "amplitude", "shift", "same"]
+
+    def two(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({c: [] for c in names})]
+        shaped = lambda v: np.stack([np.asarray(w, float) for w in v]).reshape(len(v), 16, -1)
+        y = y.assign(rc=y["rc"].map(tuple))
+        for lc, bank_part in x.assign(lc=x["lc"].map(tuple)).groupby("lc"):
+            lw, units, left = shaped(bank_part["lw"]), bank_part["unit"].to_numpy(), np.array(lc)
+            for rc, seen in y.groupby("rc"):
+                step = max(1, CELLS // len(lw))
+                for at in range(0, len(seen), step):
+                    piece = seen.iloc[at : at + step]
+                    rw, right = shaped(piece["rw"]), np.array(rc)
+                    i, j = near_best(lw, left, rw, right, 2)
+                    told = [contact_matches(lw[p], np.tile(left, (len(p), 1)), rw[q], np.tile(right, (len(q), 1)), 2, 0.7, 0.9, False) for p, q in ((i[n : n + 4096], j[n : n + 4096]) for n in range(0, len(i), 4096))]
+                    if not told:
+                        continue
+                    value, amplitude, shift = (np.concatenate(v) for v in zip(*told, strict=True))
+                    order = np.lexsort((-units[i], -value, j))
+                    order = order[value[order] > -1]
+                    order = order[np.arange(len(order)) - np.searchsorted(j[order], j[order]) < 2]
+                    i, j, value, amplitude, shift = i[order], j[order], value[order], amplitude[order], shift[order]
+                    own = piece["whole"].to_numpy()[j] & (piece["channel"].to_numpy()[j] == bank_part["anchor"].iloc[0]) & (lc == rc)
+                    found.append(pd.DataFrame({"row_id": piece["row_id"].to_numpy()[j], "unit": units[i], "score": value, "amplitude": amplitude, "shift": shift, "same": own}))
+        found = [f for f in found if len(f)] or found
+        return pd.concat(found)
+
+    scored = near.groupBy("anchor", "part").cogroup(bank.groupBy("anchor", "part")).applyInPandas(lambda y, x: two(x, y) if len(x) and len(y) else pd.DataFrame({c: [] for c in names}), f"row_id {kinds['row_id']}, unit {kinds['unit']}, score double, amplitude double, shift int, same boolean")
+    order = Window.partitionBy("row_id").orderBy(F.desc("score"), F.desc("unit"))
     top = scored.withColumn("_r", F.row_number().over(order)).where("_r <= 2")
     of = lambda r, c: F.max(F.when(F.col("_r") == r, c))
-    whole = F.forall("rw", lambda x: x.isNotNull())
-    told = top.groupBy("row_id").agg(of(1, F.struct(F.col("unit").alias("unit"), F.col("m.score").alias("score"), F.col("m.amplitude").alias("amplitude"), F.col("m.shift").alias("shift"), ((F.col("anchor") == F.col("channel")) & (F.col("lc") == F.col("rc")) & whole).alias("same"))).alias("b"), F.coalesce(of(2, F.col("m.score")), F.lit(0.0)).alias("runner"))
+    told = top.groupBy("row_id").agg(of(1, F.struct("unit", "score", "amplitude", "shift", "same")).alias("b"), F.coalesce(of(2, F.col("score")), F.lit(0.0)).alias("runner"))
     gap = F.col("b.score") - F.greatest(F.col("runner"), F.lit(0.0))
     ok = (F.col("b.score") >= score) & (gap >= margin)
     teaches = ok & (F.col("b.score") >= 0.96) & (gap >= 0.08) & (F.col("b.shift") == 0) & F.col("b.amplitude").between(0.5, 2.0) & F.col("b.same")
