@@ -467,3 +467,36 @@ def test_assignment_tries_every_template_of_an_anchor(spark):
         assert got[e].unit == (best[0][1] if best[0][0] >= 0.3 and gap >= 0.01 else -1)
         found += got[e].unit >= 0
     assert found >= 10
+
+
+def rows_written(df):
+    """Rows that went through exchanges when df was made."""
+    df.count()
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+    df.collect()
+    stack = [plan]
+    while stack:
+        p = stack.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            stack.append(p.executedPlan())
+        elif p.nodeName().endswith("QueryStage"):
+            stack.append(p.plan())
+        else:
+            if p.nodeName() == "Exchange":
+                total += p.metrics().apply("shuffleRecordsWritten").value()
+            stack += [p.children().apply(i) for i in range(p.children().size())]
+    return total
+
+
+def test_shared_contacts_send_templates_not_pairs(spark, tmp_path, monkeypatch):
+    from compare import connect, differences
+    from tidepool.operators import templates
+
+    monkeypatch.setattr(templates, "PIECE", 100)
+    rng = np.random.default_rng(8)
+    spark.createDataFrame([(i * 8 + i % 3, rng.normal(size=64).astype("f4").tolist(), 0) for i in range(250)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = connect(SF)
+    con.execute(f"create or replace view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    df = catalog.QUERIES["shared_contact_cosine"](spark, str(tmp_path))
+    assert differences(df, con, catalog.ORACLES["shared_contact_cosine"]) is None and df.count() > 3000
+    assert 0 < rows_written(df) <= 250 * 6
