@@ -500,3 +500,22 @@ def test_shared_contacts_send_templates_not_pairs(spark, tmp_path, monkeypatch):
     df = catalog.QUERIES["shared_contact_cosine"](spark, str(tmp_path))
     assert differences(df, con, catalog.ORACLES["shared_contact_cosine"]) is None and df.count() > 3000
     assert 0 < rows_written(df) <= 250 * 6
+
+
+def test_spatial_pairs_send_units_not_pairs(spark, monkeypatch):
+    from tidepool.operators import geometry
+
+    monkeypatch.setattr(geometry, "PIECE", 500)
+    rng = np.random.default_rng(9)
+    at = np.concatenate([rng.uniform(-40, 40, (150, 2)), [[0.0, 0.0], [9.0, 12.0], [15.0, 0.0], [15.0, 1e-6]]])
+    units = spark.createDataFrame([(i, float(x), float(y), i % 2) for i, (x, y) in enumerate(at)], "id long, x double, y double, probe int")
+    df = geometry.spatial_pairs(units, units, 15.0, 100)
+    want = {(i, j) for i in range(len(at)) for j in range(len(at)) if i % 2 == j % 2 and ((at[i] - at[j]) ** 2).sum() <= 225}
+    got = df.collect()
+    assert len(got) == len(want) and {(r.left, r.right) for r in got} == want and len(want) > 1000
+    assert all(r.probe == r.left % 2 and r.distance <= 15 for r in got)
+    assert 0 < rows_written(df) <= len(at) * (1 + 9 * geometry.SLICES)
+    dense = units.withColumn("x", F.lit(0.0)).withColumn("y", F.lit(0.0)).withColumn("probe", F.lit(0))
+    assert rows_written(geometry.spatial_pairs(dense, dense, 15.0, 200)) <= len(at) * (1 + 9 * geometry.SLICES) < len(at) ** 2
+    with pytest.raises(Exception, match="over 100 neighbours"):
+        geometry.spatial_pairs(dense, dense, 15.0, 100).collect()

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import PIECE, met
+
+SLICES = 8  # of a cell's units
+
 
 def _cells(df: DataFrame, radius: float, spread: bool) -> DataFrame:
     cx, cy = F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)
@@ -45,9 +53,29 @@ def guarded(pairs: DataFrame, key: str, most: int) -> DataFrame:
     return pairs.withColumn("_n", F.when(n <= most, n).otherwise(F.raise_error(F.lit(f"over {most} neighbours")).cast("long"))).where("_n > 0").drop("_n")
 
 
-def spatial_pairs(left: DataFrame, right: DataFrame, radius: float, most: int = 256) -> DataFrame:
-    """Units of one probe at most ``radius`` apart."""
-    return guarded(within(left, right, radius, ["probe"]), "left", most)
+def spatial_pairs(left: DataFrame, right: DataFrame, radius: float, most: int = 256, bare: bool = False) -> DataFrame:
+    """(left, right, probe, distance), ``bare`` the first two: units of one probe at most ``radius`` apart; over ``most`` for one of the left is an error.
+
+    A cell's units meet all units of the nine cells around it in one place, a piece of the pairs at a time, so pairs are neither sorted nor exchanged.
+    """
+    part = F.pmod(F.xxhash64("id"), F.lit(SLICES))
+    a = _cells(left.select("probe", "id", "x", "y"), radius, False).withColumn("_part", part)
+    b = _cells(right.select("probe", "id", "x", "y"), radius, True).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))))
+    kind = {c: left.schema[c].dataType.simpleString() for c in ("id", "probe")} | {"right": right.schema["id"].dataType.simpleString()}
+
+    def run(key: tuple, p: pa.StructArray, q: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        (ax, ay), (bx, by) = ([np.asarray(s.field(c).cast(pa.float64())) for c in "xy"] for s in (p, q))
+        step = max(1, PIECE // len(q))
+        for n in range(0, len(p), step):
+            d2 = (ax[n : n + step, None] - bx) ** 2 + (ay[n : n + step, None] - by) ** 2
+            near = d2 <= radius * radius
+            if near.sum(axis=1).max() > most:
+                raise ValueError(f"over {most} neighbours")
+            i, j = np.nonzero(near)
+            pairs = {"left": p.field("id").take(pa.array(i + n)), "right": q.field("id").take(pa.array(j))}
+            yield pa.RecordBatch.from_pydict(pairs if bare else pairs | {"probe": pa.repeat(key[0], len(i)), "distance": pa.array(np.sqrt(d2[i, j]))})
+
+    return met(a, b, ["probe", "_cx", "_cy", "_part"], run, f"left {kind['id']}, right {kind['right']}" + ("" if bare else f", probe {kind['probe']}, distance double"))
 
 
 def template_candidates(events: DataFrame, contacts: DataFrame, templates: DataFrame, most: int = 512) -> DataFrame:
