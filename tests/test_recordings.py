@@ -519,3 +519,24 @@ def test_spatial_pairs_send_units_not_pairs(spark, monkeypatch):
     assert rows_written(geometry.spatial_pairs(dense, dense, 15.0, 200)) <= len(at) * (1 + 9 * geometry.SLICES) < len(at) ** 2
     with pytest.raises(Exception, match="over 100 neighbours"):
         geometry.spatial_pairs(dense, dense, 15.0, 100).collect()
+
+
+@pytest.mark.parametrize("rows", [40, 20_000])
+def test_one_to_one_match_sends_meetings_not_whole_labels(spark, monkeypatch, rows):
+    monkeypatch.setattr(quality, "ROWS", rows)
+    rng = np.random.default_rng(rows)
+    side = lambda n, labels: [(int(t), int(k)) for t, k in zip(rng.integers(-300, 3000, n), rng.integers(0, labels, n), strict=True)]
+    truth, predicted = side(700, 5), side(600, 6)
+    truth += truth[:50] * 2  # equal events
+    truth += [(t, 9) for t in range(0, 900, 2)]  # a chain over blocks
+    frame = lambda rows: spark.createDataFrame(rows, "t long, label long")
+    df = quality.matched_pairs(frame(truth + [(None, 1), (5, None)]), frame(predicted), 2)
+    want = {}
+    for a in {k for _, k in truth}:
+        for b in {k for _, k in predicted}:
+            i, _ = quality.two_pointer(np.sort([t for t, k in truth if k == a]), np.sort([t for t, k in predicted if k == b]), 2)
+            if len(i):
+                want[a, b] = len(i)
+    assert {(r.label, r.label2): r.matched for r in df.collect()} == want
+    met = sum(abs(t - u) <= 2 for t, _ in truth for u, _ in predicted)
+    assert 0 < rows_written(df) <= 1.1 * (len(truth) + len(predicted)) + met
