@@ -435,6 +435,35 @@ def test_templates_are_chosen_without_a_table_of_all_scores(spark, tmp_path, mon
     assert len(seen) == 1 and seen[0].count() <= 15 * 8 * (4 if name == "best_per_identity" else 2)
 
 
+@pytest.mark.parametrize("share", [2, 1 << 11])
+def test_best_of_many_identities_is_handed_on_in_pieces(spark, tmp_path, monkeypatch, share):
+    import pyarrow as pa
+
+    from compare import connect, differences
+    from tidepool.operators import templates
+
+    seen, runs = [], []
+    blocked, met = templates._blocked, templates.met
+    monkeypatch.setattr(templates, "_blocked", lambda *a: seen.append(blocked(*a)) or seen[-1])
+    monkeypatch.setattr(templates, "met", lambda *a: runs.append(a[3]) or met(*a))
+    monkeypatch.setattr(templates, "SHARE", share, raising=False)
+    rng = np.random.default_rng(7)
+    vectors = [rng.normal(size=64).astype("f4").tolist() for _ in range(60)]  # many equal ones
+    spark.createDataFrame([(i, vectors[i * 7 % 60] if i % 3 else vectors[0], i % 61 or None) for i in range(300)], "vec_id long, embedding array<float>, label int").repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = connect(SF)
+    con.execute(f"create or replace view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    found = catalog.QUERIES["best_per_identity"](spark, str(tmp_path))
+    assert differences(found, con, catalog.ORACLES["best_per_identity"]) is None
+    assert found.count() == 15 * 61
+    if share > 2:
+        assert seen[0].count() == 15 * 61  # an identity's templates met in one block
+    monkeypatch.setattr(templates, "PIECE", 100)
+    e = pa.array([{"qu": 1000 + i, "qw": vectors[i]} for i in range(50)])
+    b = pa.array([{"bu": i, "bw": vectors[i % 60], "identity": i} for i in range(300)])
+    sizes = [x.num_rows for x in runs[0]((0,), e, b)]
+    assert sum(sizes) == 50 * 300 and max(sizes) <= 100
+
+
 def test_assignment_tries_every_template_of_an_anchor(spark):
     from tidepool.operators.templates import contact_matches
 
